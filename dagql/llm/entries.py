@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dagql.llm import decontaminate, lang_id, quality, secrets, shard, url_filter
+from dagql.llm import decontaminate, lang_id, near_dup, quality, secrets, shard, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op3_quality": quality.op3_quality,
         "op4_secrets": secrets.op4_secrets,
+        "op5_near_dup": near_dup.op5_near_dup,
         "op6_shard": shard.op6_shard,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_lang_id": lang_id.op10_lang_id,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op4_secrets": secrets.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op4_secrets": secrets.SQL, "op5_near_dup": near_dup.SQL, "op9_decontaminate": decontaminate.SQL}

@@ -2,8 +2,9 @@
 of them and the smallest encoding names the language.
 
 The dictionaries are fitted on a bounded sample: of each language the ``docs_per_language`` labelled rows with the
-smallest hash, up to ``dict_bytes`` of text in all, of each row at most ``slice_bytes`` (the model's sample; texts to
-be judged are always encoded whole). Languages have dictionaries of the same length, so none is favoured.
+smallest hash, up to ``dict_bytes`` of text in all, of each row at most ``slice_chars`` characters from its
+middle (the model's sample; texts to be judged are always encoded whole). Languages have dictionaries of the same length, so none is favoured. Case is
+folded in both, for capitals find no match in a dictionary of small letters.
 
 ``margin`` is the saving of the best against the second best language as a share of the second best; below
 ``reject_below`` the answer is marked as rejected. ``score`` is 1 - exp(-margin * sharpness), from 0 to 1.
@@ -30,21 +31,21 @@ from dagql.llm.common import table
 LETTER = regex.compile(r"\p{L}")
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 300, dict_bytes: int = 98_304, slice_bytes: int = 4_096) -> list[tuple[str, bytes]]:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 200, dict_bytes: int = 32_768, slice_chars: int = 1_000) -> list[tuple[str, bytes]]:
     """(language, dictionary content), most rows first. Only these bounded samples come to the driver."""
     d = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     counts = {r["l"]: r["count"] for r in d.groupBy("l").count().collect()}
-    d = d.select("l", "h", F.expr(f"substr(t, greatest(1, cast((char_length(t) - {slice_bytes}) / 2 as int)), {slice_bytes})").alias("t"))
+    d = d.select("l", "h", F.expr(f"substr(t, greatest(1, cast((char_length(t) - {slice_chars}) / 2 as int)), {slice_chars})").alias("t"))
     picked = d.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= docs_per_language)
     texts: dict[str, list] = {}
     for r in picked.collect():
         texts.setdefault(r["l"], []).append((r["n"], r["t"]))
-    joined = {k: b"\n".join(t.encode() for _, t in sorted(v)) for k, v in texts.items()}
+    joined = {k: b"\n".join(t.lower().encode("utf-8", "surrogatepass") for _, t in sorted(v)) for k, v in texts.items()}
     n = min([dict_bytes, *map(len, joined.values())])
     return [(k, joined[k][-n:]) for k in sorted(joined, key=lambda k: (-counts[k], k))]
 
 
-def classify(df: DataFrame, model: list[tuple[str, bytes]], text: str = "text", keep: list[str] | None = None, level: int = 3, sharpness: float = 20.0, reject_below: float = 0.01) -> DataFrame:
+def classify(df: DataFrame, model: list[tuple[str, bytes]], text: str = "text", keep: list[str] | None = None, level: int = 6, sharpness: float = 20.0, reject_below: float = 0.01) -> DataFrame:
     """keep, lang_pred, score, margin and rejected of each row."""
     keep = list(keep or [])
     d = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
@@ -64,7 +65,7 @@ def classify(df: DataFrame, model: list[tuple[str, bytes]], text: str = "text",
                 if not coders or t is None or not LETTER.search(t):
                     out.append(("und", 0.0, 0.0, True))
                     continue
-                raw = t.encode("utf-8", "surrogatepass")
+                raw = t.lower().encode("utf-8", "surrogatepass")
                 sizes = sorted((len(c.compress(raw)), i) for i, (_, c) in enumerate(coders))
                 margin = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
                 out.append((model[sizes[0][1]][0], 1 - math.exp(-sharpness * margin), margin, margin < reject_below))
