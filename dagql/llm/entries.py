@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from dagql.llm import decontaminate, lang_id, near_dup, quality, secrets, shard, url_filter
+from dagql.llm import ann, decontaminate, lang_id, mix, near_dup, quality, secrets, shard, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_ann": ann.op2_ann,
         "op3_quality": quality.op3_quality,
         "op4_secrets": secrets.op4_secrets,
         "op5_near_dup": near_dup.op5_near_dup,
         "op6_shard": shard.op6_shard,
+        "op8_mix": mix.op8_mix,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_lang_id": lang_id.op10_lang_id,
     }
