@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dagql.llm import ann, decontaminate, lang_id, mix, near_dup, quality, secrets, shard, url_filter
+from dagql.llm import ann, decontaminate, lang_id, mix, near_dup, quality, secrets, shard, substrings, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_secrets": secrets.op4_secrets,
         "op5_near_dup": near_dup.op5_near_dup,
         "op6_shard": shard.op6_shard,
+        "op7_substrings": substrings.op7_substrings,
         "op8_mix": mix.op8_mix,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_lang_id": lang_id.op10_lang_id,
