@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(both)
     labels = cut(edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
     while not edges.isEmpty():
-        least = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         labels = labels.join(least, labels["component"] == least["u"], "left").select("id", F.coalesce("m", "component").alias("component"))
         labels = cut(labels)
         a, b = least.select("u", F.col("m").alias("nu")), least.select(F.col("u").alias("v"), F.col("m").alias("nv"))

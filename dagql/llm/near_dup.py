@@ -8,9 +8,10 @@ larger, smaller and equal registers and the exact set sizes; pairs that may reac
 sets. Two sets at similarity 0.8 share no band with probability below 1e-6.
 
 Work follows the links, not the pairs of a group. Documents of equal sets are one class. First each class is verified
-against the smallest class of the bucket it shares most bands with, so a large group is joined by a star; then only
-pairs of different components in a bucket are estimated, in blocks of bounded size, and the likely ones verified. So
-no link between components is passed over, and no group is collected or expanded into its pairs.
+against the smallest class of the bucket it shares most bands with, so a large group is joined by a star; then, twice,
+against a few of the likeliest classes of other components; in the end all pairs of a bucket that are still of different
+components are estimated, in blocks of bounded size, and the likely ones verified. So no link between components is
+passed over, and no group is collected or expanded into its pairs.
 
 Defined results: null and empty texts, and those without a word, have the empty set, are linked with nothing and stay;
 texts of fewer words than a shingle are one shingle; rows of a null id take no part and stay, with a null component;
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dagql.llm.ann import sorted_groups
 from dagql.llm.common import cut, table
 from dagql.llm.components import components
 from dagql.llm.words import WordHasher, mix, shards
@@ -35,8 +37,10 @@ REGISTERS, BASE, BAND, BANDS = 256, 1.2, 6, 42
 #: x = 1 gets this number, so that numbers of sets of 1 to 1e17 shingles fit a byte.
 ZERO = 30
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
-#: Estimates have a standard error below 0.032; pairs this far below the threshold are not verified.
-SLACK = 0.16
+#: Estimates have a standard error of about 0.025 at 0.8; pairs this far below the threshold are not verified.
+SLACK = 0.12
+#: Likely pairs of each class, and bands looked at, before all.
+LIKELIEST, SOME_BANDS = 3, 8
 #: Members of a bucket that one task compares with each other at a time.
 BLOCK = 1024
 #: Ids of at most so many rows are sent to each executor (under 64 MB); more are joined by a shuffle.
@@ -93,24 +97,16 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(np.isinf(out), 0, np.clip(k, 1, 255)).astype(np.uint8).reshape(len(sets), REGISTERS)
 
 
-def similarity(larger: np.ndarray, smaller: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Most likely Jaccard similarity of sets of na and nb elements, of which so many registers are larger and smaller."""
+def reaches(least: float, larger: np.ndarray, smaller: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the most likely Jaccard similarity of sets of na and nb elements, of which so many registers are larger and
+    smaller, is at least ``least``. The likelihood has one peak, so its slope at ``least`` tells on which side that lies."""
     u, v = na / (na + nb), nb / (na + nb)
-    equal = REGISTERS - larger - smaller
-
-    def p(x):
-        return np.clip(-np.log1p(-x * (BASE - 1) / BASE) / math.log(BASE), 1e-12, 1 - 1e-12)
-
-    def log_likelihood(j):
-        a, b = p(u - v * j), p(v - u * j)
-        return larger * np.log(a) + smaller * np.log(b) + equal * np.log(np.maximum(1 - a - b, 1e-12))
-
-    low, high = np.zeros_like(u), np.minimum(u / v, v / u)
-    for _ in range(22):
-        a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
-        left = log_likelihood(a) > log_likelihood(b)
-        low, high = np.where(left, low, a), np.where(left, b, high)
-    return (low + high) / 2
+    c, log_base = (BASE - 1) / BASE, math.log(BASE)
+    x, y = np.maximum(u - v * least, 0), np.maximum(v - u * least, 0)
+    a, b = np.maximum(-np.log1p(-x * c) / log_base, 1e-12), np.maximum(-np.log1p(-y * c) / log_base, 1e-12)
+    da, db = v * c / ((1 - x * c) * log_base), u * c / ((1 - y * c) * log_base)  # by how much a and b fall
+    slope = (REGISTERS - larger - smaller) * (da + db) / np.maximum(1 - a - b, 1e-12) - larger * da / a - smaller * db / b
+    return (slope >= 0) & (np.minimum(na, nb) >= least * np.maximum(na, nb))
 
 
 def _sketch(words: int):
@@ -122,8 +118,8 @@ def _sketch(words: int):
                 keys = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 regs = registers(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                    names=["id", "n", "set", "regs"],
+                    [b.column("id").slice(first, len(texts)), b.column("key").slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    names=["id", "key", "n", "set", "regs"],
                 )
 
     return run
@@ -149,49 +145,45 @@ def _likely(least: float):
                 continue
             ra, rb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             na, nb = (b.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            ok = similarity((ra > rb).sum(1), (ra < rb).sum(1), na, nb) >= least
+            ok = reaches(least, (ra > rb).sum(1), (ra < rb).sum(1), na, nb)
             yield b.select(["u", "v"]).filter(pa.array(ok))
 
     return run
 
 
-def _block_pairs(least: float):
-    """Rows (bucket, i, j, k, id, component, n, regs), sorted by bucket, i, j; k is the row's block. Gives likely pairs
-    of blocks i and j whose components differ."""
-
-    def pairs(rows: list[tuple]) -> tuple[list, list]:
-        i, j = rows[0][1], rows[0][2]
-        a = [r for r in rows if r[3] == i]
-        b = a if i == j else [r for r in rows if r[3] == j]
-        if not a or not b:
-            return [], []
-        ida, idb = np.array([r[4] for r in a]), np.array([r[4] for r in b])
-        ca, cb = np.array([r[5] for r in a]), np.array([r[5] for r in b])
-        na, nb = np.array([float(r[6]) for r in a]), np.array([float(r[6]) for r in b])
-        ra, rb = (np.frombuffer(b"".join(r[7] for r in x), np.uint8).reshape(-1, REGISTERS) for x in (a, b))
+def _block_pairs(least: float, top: int):
+    """Rows (bucket, i, j, k, id, component, n, regs, main), sorted by bucket, i, j; k is the row's block, main whether its
+    component is the bucket's largest. Gives likely pairs of blocks i and j whose components differ: all, or for each
+    row beside the main component the ``top`` with most equal registers."""
+
+    def pairs(t: pa.Table) -> tuple[list, list]:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        k, ids, comp, n, main = (t.column(c).to_numpy() for c in ("k", "id", "component", "n", "main"))
+        n = n.astype(float)
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
         us, vs = [], []
-        for k in range(len(a)):
-            at = np.flatnonzero((cb != ca[k]) & ((idb > ida[k]) if i == j else True) & (np.minimum(nb, na[k]) >= least * np.maximum(nb, na[k])))
-            if len(at):
-                got = at[similarity((ra[k] > rb[at]).sum(1), (ra[k] < rb[at]).sum(1), np.full(len(at), na[k]), nb[at]) >= least]
-                us += np.minimum(ida[k], idb[got]).tolist()
-                vs += np.maximum(ida[k], idb[got]).tolist()
+        for own, other in [(k == i, k == j)] if i == j else [(k == i, k == j), (k == j, k == i)]:
+            b = np.flatnonzero(other)
+            for a in np.flatnonzero(own & ~main):
+                # of two rows beside the main component, only one asks for the other
+                once = main[b] | ((ids[b] > ids[a]) if i == j else k[a] == i) if not top else True
+                at = b[(comp[b] != comp[a]) & once & (ids[b] != ids[a])]
+                if not len(at):
+                    continue
+                more, less = (regs[a] > regs[at]).sum(1), (regs[a] < regs[at]).sum(1)
+                ok = reaches(least, more, less, np.full(len(at), n[a]), n[at])
+                at, apart = at[ok], (more + less)[ok]
+                if top and len(at) > top:
+                    at = at[np.argpartition(apart, top)[:top]]
+                us += np.minimum(ids[a], ids[at]).tolist()
+                vs += np.maximum(ids[a], ids[at]).tolist()
         return us, vs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows):
-            u, v = pairs(rows)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        held: list[tuple] = []
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][:3] != r[:3]:
-                    yield emit(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield emit(held)
+        for t in sorted_groups(batches, ["bucket", "i", "j"]):
+            u, v = pairs(t)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -209,46 +201,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (whether the row's id is its component's) of each row."""
+    """doc_id, n_shingles, component_id and kept (whether the row's id is its component's) of each row, and text_key, a hash
+    of id and text."""
     least = percent / 100 - SLACK
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    rows = cut(texts.mapInArrow(_sketch(words), "id long, n long, set long, regs binary"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("t"))
+    rows = cut(texts.mapInArrow(_sketch(words), "id long, key long, n long, set long, regs binary"))
+    texts = texts.select("id", "t")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("set", "n").agg(F.min("id").alias("id"), F.min("regs").alias("regs"))
     classes = cut(classes.select("id", "n", "set", "regs"))
+    info = classes.select("id", "n", "regs")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("regs", k * BAND + 1, F.lit(BAND))))
-    bands = classes.select("id", band.alias("k", "b")).select("id", F.xxhash64("k", "b").alias("bucket"))
+    bands = classes.select("id", band.alias("band", "b")).select("id", "band", F.xxhash64("band", "b").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(bands.join(shared, "bucket").select("bucket", "size", "u", F.col("id").alias("v")))
-    most = members.where("u <> v").groupBy("v", "u").count().groupBy("v").agg(F.max_by("u", F.struct("count", -F.col("u"))).alias("u"))
-    info = classes.select("id", "n", "regs")
+    members = cut(bands.join(shared, "bucket").select("bucket", "band", "size", "u", F.col("id").alias("v")))
 
-    def with_registers(p: DataFrame) -> DataFrame:
-        a, b = info.select(F.col("id").alias("u"), F.col("n").alias("na"), F.col("regs").alias("ra")), info.select(F.col("id").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-        return p.join(a, "u").join(b, "v").select("u", "v", "na", "nb", "ra", "rb")
-
-    first = cut(with_registers(most.select("u", "v")).mapInArrow(_likely(least), "u long, v long"))
-    links = _verified(first, texts, words, percent)
-    found = components(links)
-    # what may still join different components
-    m = members.select("bucket", "size", F.col("v").alias("id")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = m.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    m = m.join(mixed, "bucket").join(info, "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = m.withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = m.select("bucket", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "id", "component", "n", "regs")
-    m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = m.mapInArrow(_block_pairs(least), "u long, v long").distinct().join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    more = _verified(cut(more), texts, words, percent)
-    found = components(links.union(more)).withColumnRenamed("id", "class")
+    # each class with the smallest of the bucket it shares most bands with
+    most = members.where("u <> v").groupBy("v", "u").count().groupBy("v").agg(F.max_by("u", F.struct("count", -F.col("u"))).alias("u"))
+    a, b = info.select(F.col("id").alias("u"), F.col("n").alias("na"), F.col("regs").alias("ra")), info.select(F.col("id").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
+    star = most.join(a, "u").join(b, "v").select("u", "v", "na", "nb", "ra", "rb")
+    tested = cut(star.mapInArrow(_likely(least), "u long, v long"))
+    links = _verified(tested, texts, words, percent)
+
+    # then pairs of different components: for each class a few of the likeliest, twice; then all that are likely
+    for top in (LIKELIEST, LIKELIEST, 0):
+        m = members.where(F.col("band") < SOME_BANDS) if top else members
+        m = m.select("bucket", "size", F.col("v").alias("id")).join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = m.groupBy("bucket", "component").count().groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("largest"))
+        m = m.join(parts.where("parts > 1").drop("parts"), "bucket").join(info, "id")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        m = m.withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        m = m.withColumn("other", F.col("k") if top else F.explode(F.sequence(F.lit(0), blocks - 1)))
+        m = m.select("bucket", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "id", "component", "n", "regs", (F.col("component") == F.col("largest")).alias("main"))
+        m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        found = m.mapInArrow(_block_pairs(least, top), "u long, v long").distinct()
+        found = cut(found.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+        links = links.union(_verified(found, texts, words, percent))
+        tested = tested.union(found)
+
+    found = components(links).withColumnRenamed("id", "class")
     ids = classes.select("set", "n", F.col("id").alias("class"))
     out = rows.drop("regs").join(ids, ["set", "n"], "left").join(found, "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.coalesce("component", "class")), "id"))
+    out = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("text_key"))
+    return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each component one row, of its smallest id and, within that, text hash.
+    Rows without words and those of a null id all stay."""
+    d = cut(near_duplicates(docs, words, percent, doc_id, text).where((F.col("n_shingles") > 0) & F.col(doc_id).isNotNull()))
+    key = F.struct(F.col(doc_id).alias("id"), F.col("text_key").alias("key"))
+    stay = d.groupBy("component_id").agg(F.min(key).alias("stay")).select("component_id", "stay")
+    rows = d.join(stay, "component_id").groupBy(F.col(doc_id).alias("__id"), F.col("text_key").alias("__key")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("stay") == key).alias("stays"))
+    rows = cut(rows.where("NOT stays OR rows > 1"))  # what goes, and what stays once of repeated rows
+    if rows.limit(IDS_SENT + 1).count() <= IDS_SENT:
+        rows = F.broadcast(rows)
+    keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__key": F.xxhash64(doc_id, text)})
+    rest = keyed.join(rows, ["__id", "__key"], "left_anti")
+    repeated = keyed.join(rows.where("stays"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    return rest.union(repeated.select(*rest.columns)).select(*docs.columns)
 
 
 def op5_near_dup(spark, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, on 4-word shingles at 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
+    return near_duplicates(table(spark, sf_dir, "documents"), 4, 80).drop("text_key")
 
 
 SQL = r"""
