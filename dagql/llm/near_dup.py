@@ -188,12 +188,12 @@ def _block_pairs(least: float, top: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold. texts: id and t, one row for each class."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose full sets reach the threshold. classes: id, key; texts: key, t."""
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct().join(classes.select("id", "key"), "id")
     if ids.limit(IDS_SENT + 1).count() <= IDS_SENT:
         ids = F.broadcast(ids)
-    sets = texts.join(ids, "id", "left_semi").mapInArrow(_full_sets(words), "id long, s array<long>").dropDuplicates(["id"])
+    sets = texts.join(ids, "key").select("id", "t").mapInArrow(_full_sets(words), "id long, s array<long>").dropDuplicates(["id"])
     d = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     both = F.size(F.array_intersect("su", "sv"))
     d = d.select("u", "v", both.alias("both"), (F.size("su") + F.size("sv") - both).alias("all"))
@@ -201,14 +201,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (whether the row's id is its component's) of each row, and text_key, a hash
-    of id and text."""
+    """doc_id, n_shingles, component_id and kept (whether the row's id is its component's) of each row; text_key, a hash of id
+    and text, and group_key, a number of the component that holds apart components whose smallest ids are equal."""
     least = percent / 100 - SLACK
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("t"))
     rows = cut(texts.mapInArrow(_sketch(words), "id long, key long, n long, set long, regs binary"))
-    texts = texts.select("id", "t")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("set", "n").agg(F.min("id").alias("id"), F.min("regs").alias("regs"))
-    classes = cut(classes.select("id", "n", "set", "regs"))
+    texts = texts.select("key", "t")
+    number = F.xxhash64("set", "n")  # of a class; ids may repeat with other texts
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("set", "n").agg(F.min("key").alias("key"), F.min("regs").alias("regs"))
+    classes = cut(classes.select(number.alias("id"), "n", "key", "regs"))
     info = classes.select("id", "n", "regs")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("regs", k * BAND + 1, F.lit(BAND))))
     bands = classes.select("id", band.alias("band", "b")).select("id", "band", F.xxhash64("band", "b").alias("bucket"))
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     a, b = info.select(F.col("id").alias("u"), F.col("n").alias("na"), F.col("regs").alias("ra")), info.select(F.col("id").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     star = most.join(a, "u").join(b, "v").select("u", "v", "na", "nb", "ra", "rb")
     tested = cut(star.mapInArrow(_likely(least), "u long, v long"))
-    links = _verified(tested, texts, words, percent)
+    links = _verified(tested, classes, texts, words, percent)
 
     # then pairs of different components: for each class a few of the likeliest, twice; then all that are likely
     for top in (LIKELIEST, LIKELIEST, 0):
@@ -235,14 +236,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         found = m.mapInArrow(_block_pairs(least, top), "u long, v long").distinct()
         found = cut(found.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-        links = links.union(_verified(found, texts, words, percent))
+        links = links.union(_verified(found, classes, texts, words, percent))
         tested = tested.union(found)
 
-    found = components(links).withColumnRenamed("id", "class")
-    ids = classes.select("set", "n", F.col("id").alias("class"))
-    out = rows.drop("regs").join(ids, ["set", "n"], "left").join(found, "class", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.coalesce("component", "class")), "id"))
-    out = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("text_key"))
+    found = components(links).select(F.col("id").alias("class"), "component")
+    out = rows.select("id", "key", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), number).alias("class")).join(found, "class", "left")
+    out = out.withColumn("component", F.coalesce("component", "class"))
+    least = out.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
+    out = out.join(least, "component", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.col("key").alias("text_key"), F.col("component").alias("group_key"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
 
 
@@ -251,8 +252,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
     Rows without words and those of a null id all stay."""
     d = cut(near_duplicates(docs, words, percent, doc_id, text).where((F.col("n_shingles") > 0) & F.col(doc_id).isNotNull()))
     key = F.struct(F.col(doc_id).alias("id"), F.col("text_key").alias("key"))
-    stay = d.groupBy("component_id").agg(F.min(key).alias("stay")).select("component_id", "stay")
-    rows = d.join(stay, "component_id").groupBy(F.col(doc_id).alias("__id"), F.col("text_key").alias("__key")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("stay") == key).alias("stays"))
+    stay = d.groupBy("group_key").agg(F.min(key).alias("stay"))
+    rows = d.join(stay, "group_key").groupBy(F.col(doc_id).alias("__id"), F.col("text_key").alias("__key")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("stay") == key).alias("stays"))
     rows = cut(rows.where("NOT stays OR rows > 1"))  # what goes, and what stays once of repeated rows
     if rows.limit(IDS_SENT + 1).count() <= IDS_SENT:
         rows = F.broadcast(rows)
@@ -264,7 +265,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
 
 def op5_near_dup(spark, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, on 4-word shingles at 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), 4, 80).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), 4, 80).drop("text_key", "group_key")
 
 
 SQL = r"""
