@@ -17,7 +17,6 @@ are judged alike, each giving its row; item ids that repeat count once; with an
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,40 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dagql.llm.common import table
+from dagql.llm.words import WordHasher, shards
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(WORD)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
-#: By byte: a number for bytes of words, after A-Z to a-z; 0 for all others. Bytes from 0x80 on are parts of words.
-_rng = np.random.Generator(np.random.PCG64(20240101))
-_MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_IS_WORD = np.zeros(256, dtype=bool)
-_IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-_MIX[65:91] = _MIX[97:123]
-_MIX[~_IS_WORD] = 0
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(n: int, cache: list = [np.ones(1, np.uint64)]) -> np.ndarray:  # noqa: B006
-    if len(cache[0]) < n:
-        cache[0] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 64) - 1, _STEP)]), dtype=np.uint64)
-    return cache[0]
-
-
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start byte and 64-bit hash of each word in raw bytes."""
-    inside = _IS_WORD[raw]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
-    lengths = np.diff(np.concatenate([first, [len(at)]]))
-    offset = np.arange(len(at)) - np.repeat(first, lengths)
-    h = np.add.reduceat(_MIX[raw[at]] * _powers(int(lengths.max()))[offset], first)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return at[first], h ^ (h >> np.uint64(32))
+_HASHER = WordHasher([b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123)])
 
 
 class TestSuffixes:
@@ -71,7 +43,7 @@ class TestSuffixes:
     def __init__(self, items: list[tuple[str, list[str]]], window: int):
         self.window = window
         self.names = [name for name, _ in items]
-        hashes = [word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))[1] for _, words in items]
+        hashes = [_HASHER(np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8))[1] for _, words in items]
         self.vocabulary = np.unique(np.concatenate([*hashes, np.empty(0, np.uint64)]))
         keys: dict[tuple, set] = {}
         for i, h in enumerate(hashes):
@@ -112,7 +84,7 @@ def _search_shard(texts: list[bytes], tests: TestSuffixes) -> list[tuple[int, np
     """For each text: number of words, numbers of the hit words, numbers of the items found."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    starts, h = word_hashes(raw)
+    starts, h = _HASHER(raw)
     cuts = np.concatenate([[0], np.searchsorted(starts, ends)])
     if not len(h) or not tests.keys:
         return [(int(b - a), np.empty(0, np.int64), set()) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -141,9 +113,8 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, text: st
     schema = d.schema
 
     def step(tests: TestSuffixes):
-        def judge(batch: pa.RecordBatch, a: int, b: int, texts: list[bytes]) -> pa.RecordBatch:
+        def judge(before: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
             n, hits, items = [], [], []
-            before = batch.slice(a, b - a)
             for (words, hit, found), old, known in zip(_search_shard(texts, tests), before.column("__hit").to_pylist(), before.column("__items").to_pylist(), strict=True):
                 if old is not None and len(old):
                     hit = np.union1d(hit, np.frombuffer(old, "<i8"))
@@ -155,15 +126,8 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, text: st
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a, texts, size = 0, [], 0
-                for i, t in enumerate(batch.column("__text")):
-                    texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
-                    size += len(texts[-1])
-                    if size >= shard_bytes:
-                        yield judge(batch, a, i + 1, texts)
-                        a, texts, size = i + 1, [], 0
-                if texts:
-                    yield judge(batch, a, batch.num_rows, texts)
+                for first, texts in shards(batch.column("__text"), shard_bytes):
+                    yield judge(batch.slice(first, len(texts)), texts)
 
         return run
 
