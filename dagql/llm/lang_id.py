@@ -34,15 +34,20 @@ LETTER = regex.compile(r"\p{L}")
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 200, dict_bytes: int = 32_768, slice_chars: int = 1_000) -> list[tuple[str, bytes]]:
     """(language, dictionary content), most rows first. Only these bounded samples come to the driver."""
     d = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    counts = {r["l"]: r["count"] for r in d.groupBy("l").count().collect()}
-    d = d.select("l", "h", F.expr(f"substr(t, greatest(1, cast((char_length(t) - {slice_chars}) / 2 as int)), {slice_chars})").alias("t"))
-    picked = d.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= docs_per_language)
+    counts = {r["l"]: (r["n"], r["texts"]) for r in d.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).collect()}
+    if not counts:
+        return []
+    # rows whose hash is so small that several times the sample are expected; copies of one text count once
+    share = F.create_map(*[F.lit(x) for k, (_, texts) in counts.items() for x in (k, min(1.0, 5 * docs_per_language / max(1, texts)))])
+    d = d.where(F.pmod("h", F.lit(1 << 31)) < F.element_at(share, F.col("l")) * (1 << 31))
+    d = d.select("l", "h", F.expr(f"substr(t, greatest(1, cast((char_length(t) - {slice_chars}) / 2 as int)), {slice_chars})").alias("t")).groupBy("l", "h").agg(F.min("t").alias("t"))
+    picked = d.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 31)), "h"))).where(F.col("n") <= docs_per_language)
     texts: dict[str, list] = {}
     for r in picked.collect():
         texts.setdefault(r["l"], []).append((r["n"], r["t"]))
     joined = {k: b"\n".join(t.lower().encode("utf-8", "surrogatepass") for _, t in sorted(v)) for k, v in texts.items()}
     n = min([dict_bytes, *map(len, joined.values())])
-    return [(k, joined[k][-n:]) for k in sorted(joined, key=lambda k: (-counts[k], k))]
+    return [(k, joined[k][-n:]) for k in sorted(joined, key=lambda k: (-counts[k][0], k))]
 
 
 def classify(df: DataFrame, model: list[tuple[str, bytes]], text: str = "text", keep: list[str] | None = None, level: int = 6, sharpness: float = 20.0, reject_below: float = 0.01) -> DataFrame:
