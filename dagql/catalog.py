@@ -10,7 +10,7 @@ from dagql.operators import connectors, index
 from dagql.operators import relational as R
 from dagql.plans import script
 from dagql.plans.jobspec import JobSpec
-from dagql.sources import files, sinks
+from dagql.sources import files, pull, sinks
 from dagql.streaming import windows
 
 QUERIES: dict = {}
@@ -70,6 +70,19 @@ def constant_row(spark, d):
     return files.single_row(spark).select((F.lit(1) + 1).alias("x"))
 
 
+class Squares(pull.RecordReader):
+    def open(self, split):
+        self.rows = iter((split, i, i * i) for i in range(5))
+
+    def read(self):
+        return next(self.rows, None)
+
+
+@query("SELECT s AS split, i, i * i AS square FROM range(4) a(s), range(5) b(i)")
+def pull_reader(spark, d):
+    return pull.read_with(spark, Squares, "split long, i long, square long", range(4))
+
+
 # Scripts.
 
 

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def sorted_load(df: DataFrame, path: str, keys: Sequence[str], n: int | None = None) -> None:
-    """Bulk load: files that hold disjoint key ranges, sorted, so that bounds on keys skip files and row groups."""
+def sorted_load(df: DataFrame, path: str, keys: Sequence[str], n: int | None = None, bloom: Sequence[str] = ()) -> None:
+    """Bulk load: files that hold disjoint key ranges, sorted, so that bounds on keys skip files and row groups; with Bloom
+    filters on the columns named, for point searches on them."""
     d = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
-    d.sortWithinPartitions(*keys).write.parquet(path)
+    w = d.sortWithinPartitions(*keys).write
+    for c in bloom:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.parquet(path)
 
 
 def _prefix(keys: Sequence[str], bound: Sequence, low: bool) -> Column:
@@ -84,6 +88,31 @@ def upsert(df: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return delete(df, rows, keys).union(rows.select(*df.columns))
 
 
+class Components:
+    """A table of sorted components under one folder: each append is a component of its own, later ones win by key, and
+    merging rewrites them as one. A null in ``deleted`` or no such column: the row stands."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
+        self.spark, self.path, self.keys = spark, path, list(keys)
+
+    def append(self, df: DataFrame, number: int) -> None:
+        """number: larger than those before."""
+        sorted_load(df, f"{self.path}/component={number}", self.keys)
+
+    def read(self) -> DataFrame:
+        """The latest row of each key, the deleted ones left out."""
+        d = self.spark.read.option("mergeSchema", "true").parquet(self.path)
+        columns = [c for c in d.columns if c not in (*self.keys, "component")]
+        d = d.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), "component").alias("row")).select(*self.keys, "row.*")
+        return d.where(~F.coalesce(F.col("deleted"), F.lit(False))).drop("deleted") if "deleted" in columns else d
+
+    def merge(self, path: str) -> Components:
+        """All components as one, in a folder of its own; readers of the old one aren't disturbed."""
+        new = Components(self.spark, path, self.keys)
+        new.append(self.read(), 0)
+        return new
+
+
 def word_tokens(text: Column) -> Column:
     """Distinct lower-cased runs of letters and digits."""
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != ""))

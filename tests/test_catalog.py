@@ -23,3 +23,12 @@ def test_entry_imports_and_runs(spark):
     d = e.entry(spark)
     assert d.columns == ["c_mktsegment", "n_orders"] and d.count() > 0
     assert set(catalog.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_works_without_the_training_data_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; from dagql import catalog; assert set(e.queries()) == set(catalog.queries()) and set(e.oracle_sql()) == set(catalog.oracle_sql())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], timeout=120)

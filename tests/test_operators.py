@@ -137,3 +137,33 @@ def test_windows_over_a_stream(spark, tmp_path):
         assert {(r.k, r.n) for r in spark.table("w").collect()} == {(0, 30), (1, 30)}
     finally:
         q.stop()
+
+
+def test_components_merge_by_latest_row(spark, tmp_path):
+    t = index.Components(spark, str(tmp_path / "t"), ["k"])
+    t.append(spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", None)], "k int, v string, deleted boolean"), 0)
+    t.append(spark.createDataFrame([(2, "B", None), (3, None, True)], "k int, v string, deleted boolean"), 1)
+    assert rows(t.read()) == [(1, "a"), (2, "B")]
+    m = t.merge(str(tmp_path / "m"))
+    m.append(spark.createDataFrame([(4, "d")], "k int, v string"), 1)
+    assert rows(m.read()) == [(1, "a"), (2, "B"), (4, "d")]
+    index.sorted_load(spark.range(9), str(tmp_path / "b"), ["id"], 2, bloom=["id"])
+    assert spark.read.parquet(str(tmp_path / "b")).where("id = 3").count() == 1
+
+
+def test_deployed_code_and_shared_values_reach_tasks(spark, tmp_path):
+    from dagql.plans.deploy import deploy, shared
+
+    (tmp_path / "deployed_module.py").write_text("def f(x):\n    return x + 1\n")
+    assert deploy(spark, [str(tmp_path / "deployed_module.py")]) == ["deployed_module.py"]
+    with pytest.raises(FileNotFoundError):
+        deploy(spark, [str(tmp_path / "none.py")])
+    b = shared(spark, {"add": 10})
+
+    def run(frames):
+        import deployed_module
+
+        for f in frames:
+            yield f.assign(id=deployed_module.f(f.id) + b.value["add"])
+
+    assert [r.id for r in spark.range(1).mapInPandas(run, "id long").collect()] == [11]
