@@ -12,8 +12,8 @@ covers is removed. The suffixes are refined as bucket-pointer refinement does it
    number of the string at each offset, which ends in buckets of single windows; those that hold two or more repeat.
 
 Numbers are 64-bit hashes and stand beside the anchor's own number, so only strings that agree in both are taken as equal.
-All counts are sums by key with partial aggregates; no bucket is gathered. Texts travel once for the
-borders and once for the result.
+All counts are sums by key with partial aggregates; no bucket is gathered. What texts need is sent to them if it is
+small; else the texts travel, packed, once for the borders and once for the result.
 
 Defined results: null and empty texts have no bytes and lose none; texts shorter than ``length`` lose none; a repeated row
 is elsewhere, so both lose all that is long enough; an empty table gives an empty result.
@@ -21,22 +21,23 @@ is elsewhere, so both lose all that is long enough; an empty table gives an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dagql.llm.ann import sorted_groups
-from dagql.llm.common import cut, table
+from dagql.llm.common import cut, cut_table, table
 from dagql.llm.words import mix, shards
 
 Q = 64
 #: Buckets of at most so many spans are refined within a task; the windows of larger ones are counted by key.
 SPANS_AT_ONCE = 4096
 #: Side tables of at most so many entries are sent to each executor (under 64 MB); more are joined by a shuffle.
-ENTRIES_SENT = 1_000_000
+ENTRIES_SENT = 1_500_000
 _P = np.uint64(0xD1342543DE82EF95)
 
 
@@ -117,23 +118,41 @@ def _anchors(length: int):
             for first, texts in shards(b.column("t")):
                 text, start, end, gram, span = anchors(texts, length)
                 row = first + text
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[row], c[row], start, end, gram.view(np.int64), span.view(np.int64))], names=["a", "c", "first", "last", "gram", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[row], c[row], start * length + (end - start), gram.view(np.int64), span.view(np.int64))], names=["a", "c", "at", "gram", "span"])
 
     return run
 
 
-def _spans(length: int):
-    """The bytes of the spans asked for: rows (a, c, t, asked); asked holds (first, last, gram, spans, single)."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts t as zstandard frames, for a shuffle."""
+    coder = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        raw = [None if t is None else coder.compress(t) for t in b.column("t").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()) if k == "t" else b.column(k) for k in b.schema.names], names=b.schema.names)
+
+
+def _meet(texts: DataFrame, side: DataFrame, entries: int, how: str) -> tuple[DataFrame, Callable]:
+    """texts (a, c, t binary, ...) with what side has of their keys, and how to read t: as it is where the side is small and
+    is sent to the texts; else both are shuffled, the texts packed."""
+    if entries <= ENTRIES_SENT:
+        return texts.join(F.broadcast(side), ["a", "c"], how), lambda t: t or b""
+    return texts.mapInArrow(_pack, texts.schema).join(side, ["a", "c"], how), lambda t: zstandard.ZstdDecompressor().decompress(t) if t else b""
+
+
+def _spans(length: int, read: Callable):
+    """The bytes of the spans asked for: rows (a, c, t, asked); asked holds (at, gram, single)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for a, c, t, asked in zip(*(b.column(k).to_pylist() for k in ("a", "c", "t", "asked")), strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                rows += [(a, c, x["first"], x["gram"], x["spans"], x["single"], raw[x["first"] : x["last"] + length]) for x in asked]
+                raw = read(t)
+                for x in asked:
+                    first, more = divmod(x["at"], length)
+                    rows.append((x["gram"], a, c, first, x["single"], raw[first : first + more + length]))
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "c", "first", "gram", "spans", "single", "raw"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "a", "c", "first", "single", "raw"])
 
     return run
 
@@ -190,50 +209,62 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("c"), pa.array(out, pa.list_(pa.int64()))], names=["a", "c", "cover"])
 
 
-def _sent(small: DataFrame, entries: int) -> DataFrame:
-    return F.broadcast(small) if entries <= ENTRIES_SENT else small
+def _entries(df: DataFrame, array: str) -> int:
+    return df.agg(F.coalesce(F.sum(F.size(array) + 2), F.lit(0))).first()[0]
 
 
-def find_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """docs with two key columns a and c, and (a, c, cover): the flat list of borders (from, to) of the byte runs that
-    repeated strings cover, for the keys that have any. Rows of equal id and text share a key and its cover."""
-    texts = docs.withColumns({"a": F.xxhash64(doc_id, text), "c": F.hash(text, doc_id)})
-    t = texts.select("a", "c", F.col(text).alias("t")).where(F.octet_length("t") >= length)
-    found = cut(t.mapInArrow(_anchors(length), "a long, c int, first long, last long, gram long, span long"))
-    spans = found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "c")).alias("least"))
+def find_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(a, c, cover): the flat list of borders (from, to) of the byte runs that repeated strings cover, for the texts that have
+    any. a and c are the text's ``keys``; rows of equal id and text share them and their cover."""
+    t = docs.select(*keys(doc_id, text), F.encode(text, "UTF-8").alias("t")).where(F.octet_length("t") >= length)
+    found = docs.select(*keys(doc_id, text), F.col(text).alias("t")).where(F.octet_length("t") >= length)
+    found = cut_table(found.mapInArrow(_anchors(length), "a long, c int, at long, gram long, span long"))
+    who = F.xxhash64("a", "c")
+    spans = found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("who"))
     grams = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("spans"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
-    buckets = spans.join(grams, "gram")
-    placed = cut(found.join(buckets, ["gram", "span"]).withColumn("single", F.col("n") == 1))
-    covered = placed.where("NOT single").select("a", "c", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
-    open_ = placed.where((F.col("spans") > 1) & (F.col("single") | (F.struct("a", "c") == F.col("least"))))
-    asked = cut(open_.groupBy("a", "c").agg(F.collect_list(F.struct("first", "last", "gram", "spans", "single")).alias("asked")))
-    entries = asked.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()[0]
-    raw = t.join(_sent(asked, entries), ["a", "c"]).mapInArrow(_spans(length), "a long, c int, first long, gram long, spans long, single boolean, raw binary")
-    raw = cut(raw)
-    few = raw.where(F.col("spans") <= SPANS_AT_ONCE).repartition("gram").sortWithinPartitions("gram").select("gram", "a", "c", "first", "single", "raw")
-    refined = few.mapInArrow(_refine(length), "a long, c int, from long, to long")
-    many = raw.where(F.col("spans") > SPANS_AT_ONCE).mapInArrow(_windows(length), "gram long, h long, a long, c int, start long, single boolean")
-    twice = many.groupBy("gram", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    counted = many.where("single").join(twice, ["gram", "h"]).select("a", "c", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
-    cover = covered.union(refined).union(counted).groupBy("a", "c").agg(F.collect_list(F.struct("from", "to")).alias("x"))
-    cover = cut(cover.mapInArrow(_merge, "a long, c int, cover array<long>"))
-    return texts, cover
+    placed = found.join(spans.join(grams, "gram"), ["gram", "span"])
+    placed = cut_table(placed.select("a", "c", "at", "gram", "spans", (F.col("n") == 1).alias("single"), (F.col("who") == who).alias("stands")))
+    first, last = F.floor(F.col("at") / length), F.floor(F.col("at") / length) + F.col("at") % length
+    cover = placed.where("NOT single").select("a", "c", first.alias("from"), (last + length).alias("to"))
+
+    def asked(large: bool) -> DataFrame:
+        """The anchors of buckets of several spans by text; of equal spans, those of one text stand for all."""
+        d = placed.where((F.col("spans") > SPANS_AT_ONCE) if large else F.col("spans").between(2, SPANS_AT_ONCE)).where("single OR stands")
+        return cut(d.groupBy("a", "c").agg(F.collect_list(F.struct("at", "gram", "single")).alias("asked")))
+
+    def raw(side: DataFrame) -> DataFrame:
+        d, read = _meet(t, side, _entries(side, "asked"), "inner")
+        return d.mapInArrow(_spans(length, read), "gram long, a long, c int, first long, single boolean, raw binary")
+
+    few = raw(asked(False)).repartition("gram").sortWithinPartitions("gram")
+    cover = cover.union(few.mapInArrow(_refine(length), "a long, c int, from long, to long"))
+    side = asked(True)
+    if not side.isEmpty():
+        many = cut(raw(side).mapInArrow(_windows(length), "gram long, h long, a long, c int, start long, single boolean"))
+        twice = many.groupBy("gram", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        cover = cover.union(many.where("single").join(twice, ["gram", "h"]).select("a", "c", F.col("start").alias("from"), (F.col("start") + length).alias("to")))
+    cover = cover.groupBy("a", "c").agg(F.collect_list(F.struct("from", "to")).alias("x"))
+    return cut(cover.mapInArrow(_merge, "a long, c int, cover array<long>"))
+
+
+def keys(doc_id: str, text: str) -> list[Column]:
+    return [F.xxhash64(doc_id, text).alias("a"), F.hash(text, doc_id).alias("c")]
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """keep, kept (the remaining bytes), n_bytes, n_removed, n_spans, cover of each row."""
     keep = [doc_id] if keep is None else list(keep)
-    texts, cover = find_repeats(docs, length, text, doc_id)
-    entries = cover.agg(F.coalesce(F.sum(F.size("cover") + 2), F.lit(0))).first()[0]
-    d = texts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keep)], "a", "c", F.col(text).alias("__text"))
-    d = d.join(_sent(cover, entries), ["a", "c"], "left").drop("a", "c")
-    kept = d.drop("__text", "cover").schema
+    cover = find_repeats(docs, length, text, doc_id)
+    d = docs.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keep)], *keys(doc_id, text), F.encode(text, "UTF-8").alias("t"))
+    d, read = _meet(d, cover, _entries(cover, "cover"), "left")
+    d = d.drop("a", "c")
+    kept = d.drop("t", "cover").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rest, size, removed = [], [], []
-            for t, x in zip(b.column("__text"), b.column("cover").to_pylist(), strict=True):
-                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            for t, x in zip(b.column("t").to_pylist(), b.column("cover").to_pylist(), strict=True):
+                raw = read(t)
                 ends = [0, *(x or ()), len(raw)]
                 rest.append(b"".join(raw[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True)))
                 size.append(len(raw))
