@@ -14,13 +14,15 @@ def components(links: DataFrame) -> DataFrame:
     By contraction: each round replaces every node by the smallest of its neighbourhood and keeps the links that then
     still join different nodes. Sums run over keys with partial aggregates; no group of nodes is collected.
     """
-    both = links.where("u <> v").select("u", "v").union(links.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    edges = cut(both)
-    labels = cut(edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
-    while not edges.isEmpty():
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        labels = labels.join(least, labels["component"] == least["u"], "left").select("id", F.coalesce("m", "component").alias("component"))
-        labels = cut(labels)
+    links = links.where("u <> v")
+    edges = cut(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = None
+    while labels is None or not edges.isEmpty():
+        least = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        if labels is None:
+            labels = least.select(F.col("u").alias("id"), F.col("m").alias("component"))
+        else:
+            labels = cut(labels.join(least, labels["component"] == least["u"], "left").select("id", F.coalesce("m", "component").alias("component")))
         a, b = least.select("u", F.col("m").alias("nu")), least.select(F.col("u").alias("v"), F.col("m").alias("nv"))
         edges = cut(edges.join(a, "u").join(b, "v").where("nu <> nv").select(F.col("nu").alias("u"), F.col("nv").alias("v")).distinct())
     return labels

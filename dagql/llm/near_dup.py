@@ -10,7 +10,8 @@ sets. Two sets at similarity 0.8 share no band with probability below 1e-6.
 Work follows the links, not the pairs of a group. Documents of equal sets are one class. First each class is verified
 against the smallest class of the bucket it shares most bands with, so a large group is joined by a star; then, twice,
 against a few of the likeliest classes of other components; in the end all pairs of a bucket that are still of different
-components are estimated, in blocks of bounded size, and the likely ones verified. So no link between components is
+components are estimated, in blocks of bounded size, and the likely ones are compared there by 32-bit hashes of their
+shingles before the rest is verified. So no link between components is
 passed over, and no group is collected or expanded into its pairs.
 
 Defined results: null and empty texts, and those without a word, have the empty set, are linked with nothing and stay;
@@ -40,9 +41,9 @@ _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 #: Estimates have a standard error of about 0.025 at 0.8; pairs this far below the threshold are not verified.
 SLACK = 0.12
 #: Likely pairs of each class, and bands looked at, before all.
-LIKELIEST, SOME_BANDS = 3, 8
-#: Members of a bucket that one task compares with each other at a time.
-BLOCK = 1024
+LIKELIEST, SOME_BANDS = 3, 6
+#: Members of a bucket, and shingles of theirs, that one task compares with each other at a time.
+BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
 #: Ids of at most so many rows are sent to each executor (under 64 MB); more are joined by a shuffle.
 IDS_SENT = 1_000_000
 
@@ -151,16 +152,32 @@ def _likely(least: float):
     return run
 
 
-def _block_pairs(least: float, top: int):
-    """Rows (bucket, i, j, k, id, component, n, regs, main), sorted by bucket, i, j; k is the row's block, main whether its
-    component is the bucket's largest. Gives likely pairs of blocks i and j whose components differ: all, or for each
-    row beside the main component the ``top`` with most equal registers."""
+def _short_sets(words: int):
+    """Sets of 32-bit parts of the shingle hashes: no smaller in common than the full ones, but for pairs of shingles of one
+    document whose parts agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _hasher()
+        for b in batches:
+            for first, texts in shards(b.column("t")):
+                sets = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_sets(texts, words, hasher)]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(first, len(texts)), pa.array(sets, pa.binary())], names=["id", "short"])
+
+    return run
+
+
+def _block_pairs(least: float, percent: int, top: int):
+    """Rows (bucket, i, j, k, band, id, component, n, regs, main[, short]), sorted by bucket, i, j; k is the row's block, main
+    whether its component is the bucket's largest. Gives pairs of blocks i and j whose components differ. With ``top``: for
+    each row beside the main component those likely ones with most equal registers. Else all that are likely and whose
+    short sets have enough in common, in the first band that both share."""
 
     def pairs(t: pa.Table) -> tuple[list, list]:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
         k, ids, comp, n, main = (t.column(c).to_numpy() for c in ("k", "id", "component", "n", "main"))
         n = n.astype(float)
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        short = None if top else [np.frombuffer(x, np.uint32) for x in t.column("short").to_pylist()]
         us, vs = [], []
         for own, other in [(k == i, k == j)] if i == j else [(k == i, k == j), (k == j, k == i)]:
             b = np.flatnonzero(other)
@@ -175,6 +192,11 @@ def _block_pairs(least: float, top: int):
                 at, apart = at[ok], (more + less)[ok]
                 if top and len(at) > top:
                     at = at[np.argpartition(apart, top)[:top]]
+                if not top and len(at):
+                    same = (regs[a, : BAND * BANDS] == regs[at, : BAND * BANDS]).reshape(len(at), BANDS, BAND).all(2)
+                    at = at[same.argmax(1) == band]
+                    both = np.array([len(np.intersect1d(short[a], short[x], assume_unique=True)) + 2 for x in at])
+                    at = at[100 * both >= percent * (n[a] + n[at] - both)] if len(at) else at
                 us += np.minimum(ids[a], ids[at]).tolist()
                 vs += np.maximum(ids[a], ids[at]).tolist()
         return us, vs
@@ -188,12 +210,18 @@ def _block_pairs(least: float, top: int):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose full sets reach the threshold. classes: id, key; texts: key, t."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct().join(classes.select("id", "key"), "id")
+def _texts_of(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and t of the classes of ids, which are distinct; from repeated rows, repeatedly. classes: id, key; texts: key, t."""
+    ids = ids.join(classes.select("id", "key"), "id")
     if ids.limit(IDS_SENT + 1).count() <= IDS_SENT:
         ids = F.broadcast(ids)
-    sets = texts.join(ids, "key").select("id", "t").mapInArrow(_full_sets(words), "id long, s array<long>").dropDuplicates(["id"])
+    return texts.join(ids, "key").select("id", "t")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose full sets reach the threshold."""
+    ids = cut(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
+    sets = _texts_of(ids, classes, texts).mapInArrow(_full_sets(words), "id long, s array<long>").dropDuplicates(["id"])
     d = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     both = F.size(F.array_intersect("su", "sv"))
     d = d.select("u", "v", both.alias("both"), (F.size("su") + F.size("sv") - both).alias("all"))
@@ -212,9 +240,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     classes = cut(classes.select(number.alias("id"), "n", "key", "regs"))
     info = classes.select("id", "n", "regs")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("regs", k * BAND + 1, F.lit(BAND))))
-    bands = classes.select("id", band.alias("band", "b")).select("id", "band", F.xxhash64("band", "b").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(bands.join(shared, "bucket").select("bucket", "band", "size", "u", F.col("id").alias("v")))
+    bands = classes.select("id", "n", band.alias("band", "b")).select("id", "n", "band", F.xxhash64("band", "b").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk")).where("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bulk") / BLOCK_SHINGLES)).cast("int")
+    members = cut(bands.join(shared, "bucket").select("bucket", "band", blocks.alias("blocks"), "u", F.col("id").alias("v")))
 
     # each class with the smallest of the bucket it shares most bands with
     most = members.where("u <> v").groupBy("v", "u").count().groupBy("v").agg(F.max_by("u", F.struct("count", -F.col("u"))).alias("u"))
@@ -223,23 +252,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     tested = cut(star.mapInArrow(_likely(least), "u long, v long"))
     links = _verified(tested, classes, texts, words, percent)
 
+    labels = components(links)
+
     # then pairs of different components: for each class a few of the likeliest, twice; then all that are likely
     for top in (LIKELIEST, LIKELIEST, 0):
         m = members.where(F.col("band") < SOME_BANDS) if top else members
-        m = m.select("bucket", "size", F.col("v").alias("id")).join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        m = m.select("bucket", "band", "blocks", F.col("v").alias("id")).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = m.groupBy("bucket", "component").count().groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("largest"))
         m = m.join(parts.where("parts > 1").drop("parts"), "bucket").join(info, "id")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        m = m.withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        m = m.withColumn("other", F.col("k") if top else F.explode(F.sequence(F.lit(0), blocks - 1)))
-        m = m.select("bucket", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "id", "component", "n", "regs", (F.col("component") == F.col("largest")).alias("main"))
-        m = m.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = m.mapInArrow(_block_pairs(least, top), "u long, v long").distinct()
+        m = m.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        columns = ["bucket", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "band", "id", "component", "n", "regs", (F.col("component") == F.col("largest")).alias("main")]
+        if not top:
+            m = cut(m)
+            short = _texts_of(cut(m.select("id").distinct()), classes, texts).mapInArrow(_short_sets(words), "id long, short binary").dropDuplicates(["id"])
+            m, columns = m.join(short, "id"), [*columns, "short"]
+        m = m.withColumn("other", F.col("k") if top else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        m = m.select(*columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        found = m.mapInArrow(_block_pairs(least, percent, top), "u long, v long").distinct()
         found = cut(found.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-        links = links.union(_verified(found, classes, texts, words, percent))
-        tested = tested.union(found)
-
-    found = components(links).select(F.col("id").alias("class"), "component")
+        if found.isEmpty():
+            continue
+        tested, new = tested.union(found), _verified(found, classes, texts, words, percent)
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = components(links)
+
+    found = labels.select(F.col("id").alias("class"), "component")
     out = rows.select("id", "key", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), number).alias("class")).join(found, "class", "left")
     out = out.withColumn("component", F.coalesce("component", "class"))
     least = out.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))

@@ -9,7 +9,7 @@ of the plain schedule over all groups, and no group is collected.
 Sizes of 65,536 and more are classed by their leading 16 bits, at every input size: so there are at most about
 33,000 classes for each doubling beyond, and a class's groups differ by less than 1 in 32,768.
 
-Defined results: a null text has no bytes (size 1) and all null texts are one group, apart from the empty text's;
+Defined results: a null text has no bytes (size 1, checksum 0) and all null texts are one group, apart from the empty text's;
 repeated rows stay together and each gets its own slot; an empty table gives an empty result; input columns other
 than the id and text don't matter. A hot group is never split: the law that groups stay together comes first.
 """
@@ -62,10 +62,10 @@ def lpt_shards(df: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: st
     raw = F.encode(F.col(text), "UTF-8")
     rows = df.select(
         *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(doc_id).alias("__id"),
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__bytes"), F.crc32(raw).alias("__crc"),
-        F.sha2(raw, 256).alias("__group"),
+        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__bytes"), F.coalesce(F.crc32(raw), F.lit(0)).alias("__crc"),
+        F.unhex(F.sha2(raw, 256)).alias("__group"),
     )
-    rows = rows.withColumn("__bytes", F.col("__bytes") + 1)
+    rows = cut(rows.withColumn("__bytes", F.col("__bytes") + 1))  # texts are read once
     groups = rows.groupBy("__group").agg(F.sum("__bytes").alias("__total"))
     groups = cut(groups.withColumn("__class", size_class(F.col("__total"))))
     classes = [(r[0], r[1]) for r in groups.groupBy("__class").count().collect()]
