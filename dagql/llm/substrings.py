@@ -219,7 +219,7 @@ def find_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id:
     t = docs.select(*keys(doc_id, text), F.encode(text, "UTF-8").alias("t")).where(F.octet_length("t") >= length)
     found = docs.select(*keys(doc_id, text), F.col(text).alias("t")).where(F.octet_length("t") >= length)
     found = cut_table(found.mapInArrow(_anchors(length), "a long, c int, at long, gram long, span long"))
-    who = F.xxhash64("a", "c")
+    who = F.xxhash64("a", "c", "at")
     spans = found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("who"))
     grams = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("spans"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
     placed = found.join(spans.join(grams, "gram"), ["gram", "span"])
@@ -228,7 +228,7 @@ def find_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id:
     cover = placed.where("NOT single").select("a", "c", first.alias("from"), (last + length).alias("to"))
 
     def asked(large: bool) -> DataFrame:
-        """The anchors of buckets of several spans by text; of equal spans, those of one text stand for all."""
+        """The anchors of buckets of several spans by text; of equal spans, one stands for all."""
         d = placed.where((F.col("spans") > SPANS_AT_ONCE) if large else F.col("spans").between(2, SPANS_AT_ONCE)).where("single OR stands")
         return cut(d.groupBy("a", "c").agg(F.collect_list(F.struct("at", "gram", "single")).alias("asked")))
 
