@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dagql.llm.ann import sorted_groups
-from dagql.llm.common import cut, table
+from dagql.llm.common import cut, cut_table, table
 from dagql.llm.components import components
 from dagql.llm.words import WordHasher, mix, shards
 
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     bands = classes.select("id", "n", band.alias("band", "b")).select("id", "n", "band", F.xxhash64("band", "b").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk")).where("size > 1")
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bulk") / BLOCK_SHINGLES)).cast("int")
-    members = cut(bands.join(shared, "bucket").select("bucket", "band", blocks.alias("blocks"), "u", F.col("id").alias("v")))
+    members = cut_table(bands.join(shared, "bucket").select("bucket", "band", blocks.alias("blocks"), "u", F.col("id").alias("v")))
 
     # each class with the smallest of the bucket it shares most bands with
     most = members.where("u <> v").groupBy("v", "u").count().groupBy("v").agg(F.max_by("u", F.struct("count", -F.col("u"))).alias("u"))
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         m = m.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         columns = ["bucket", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "band", "id", "component", "n", "regs", (F.col("component") == F.col("largest")).alias("main")]
         if not top:
-            m = cut(m)
+            m = cut_table(m)
             short = _texts_of(cut(m.select("id").distinct()), classes, texts).mapInArrow(_short_sets(words), "id long, short binary").dropDuplicates(["id"])
             m, columns = m.join(short, "id"), [*columns, "short"]
         m = m.withColumn("other", F.col("k") if top else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
