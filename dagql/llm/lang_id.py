@@ -3,8 +3,10 @@ of them and the smallest encoding names the language.
 
 The dictionaries are fitted on a bounded sample: of each language the ``docs_per_language`` labelled rows with the
 smallest hash, up to ``dict_bytes`` of text in all, of each row at most ``slice_chars`` characters from its
-middle (the model's sample; texts to be judged are always encoded whole). Languages have dictionaries of the same length, so none is favoured. Case is
-folded in both, for capitals find no match in a dictionary of small letters.
+middle (the model's sample; texts to be judged are always encoded whole). Each language keeps its own text up to that bound,
+however little the others have; a shorter one is repeated up to the length of the longest, for zstandard chooses its
+search by the dictionary's length, and none is favoured then. Case is folded in both, for capitals find no match in a
+dictionary of small letters.
 
 ``margin`` is the saving of the best against the second best language as a share of the second best; below
 ``reject_below`` the answer is marked as rejected. ``score`` is 1 - exp(-margin * sharpness), from 0 to 1.
@@ -46,8 +48,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
     for r in picked.collect():
         texts.setdefault(r["l"], []).append((r["n"], r["t"]))
     joined = {k: b"\n".join(t.lower().encode("utf-8", "surrogatepass") for _, t in sorted(v)) for k, v in texts.items()}
-    n = min([dict_bytes, *map(len, joined.values())])
-    return [(k, joined[k][-n:]) for k in sorted(joined, key=lambda k: (-counts[k][0], k))]
+    n = min(dict_bytes, max(map(len, joined.values()), default=0))
+    return [(k, (joined[k] * -(-n // len(joined[k])))[-n:]) for k in sorted(joined, key=lambda k: (-counts[k][0], k))]
 
 
 def classify(df: DataFrame, model: list[tuple[str, bytes]], text: str = "text", keep: list[str] | None = None, level: int = 6, sharpness: float = 20.0, reject_below: float = 0.01) -> DataFrame:

@@ -407,3 +407,15 @@ def test_language_of_odd_rows(spark):
     assert lang_id.classify(docs(spark, []), m).count() == 0
     none = lang_id.fit(spark.createDataFrame([], "text string, lang string"))
     assert [x.lang_pred for x in lang_id.classify(docs(spark, ["the"]), none).collect()] == ["und"]
+
+
+def test_a_rare_language_leaves_the_dictionaries_of_others_whole(spark):
+    r = random.Random(11)
+    stems = {k: [f"{k}{''.join(r.choice('aeioustrn') for _ in range(6))}" for _ in range(300)] for k in ("b", "c")}
+    rows = [(" ".join(r.choice(v) for _ in range(60)), k) for k, v in stems.items() for _ in range(60)] + [("zuzu qoqo vyvy", "rare")]
+    m = dict(lang_id.fit(spark.createDataFrame(rows, "text string, lang string"), dict_bytes=16_384))
+    assert set(m) == {"b", "c", "rare"} and all(len(m[k]) == 16_384 and len(set(m[k].split())) > 290 for k in stems)
+    assert set(m["rare"].decode().replace("vyvyzuzu", "vyvy zuzu").split()[1:]) == {"zuzu", "qoqo", "vyvy"}
+    texts = [" ".join(r.choice(stems[k]) for _ in range(8)) for k in ("b", "c") * 50] + ["qoqo vyvy zuzu qoqo"]
+    got = {x.doc_id: x.lang_pred for x in lang_id.classify(docs(spark, texts), list(m.items()), keep=["doc_id"]).collect()}
+    assert [got[i] for i in range(101)] == ["b", "c"] * 50 + ["rare"]
