@@ -1,7 +1,7 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Indicators of n-grams (1 to 3) over the shapes of words (see ``shape``; a word that repeats the one before it is
-marked) are scaled by the log-count ratios of the two classes, and a linear model with hinge loss is fitted to them by
+Indicators of n-grams (1 to 3) over the shapes of words (see ``shape``; one of more than ``SHAPE_LENGTH`` signs counts as
+successive pieces of that length; a word that repeats the one before it is marked) are scaled by the log-count ratios of the two classes, and a linear model with hinge loss is fitted to them by
 dual coordinate descent. A logistic curve, fitted on rows that the descent didn't see, turns margins into scores from
 0 to 1.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dagql.llm.common import cut, table
 
 SHAPE_LENGTH = 8
-CACHED_WORDS = 200_000
+CACHED_WORDS, CACHED_LENGTH = 200_000, 64
 
 
 def shape(word: str) -> str:
@@ -37,26 +37,31 @@ def shape(word: str) -> str:
         s = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "x" if c.isalpha() else c
         if s not in "aA0x" or not out or out[-1] != s:
             out.append(s)
-        if len(out) == SHAPE_LENGTH:
-            break
     return "".join(out)
 
 
 class Shapes(dict):
-    def __missing__(self, word: str) -> str:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = s = shape(word)
-        return s
+    """The pieces of each word's shape, one at least; words of more than ``CACHED_LENGTH`` characters aren't held."""
+
+    def __missing__(self, word: str) -> list[str]:
+        s = shape(word)
+        pieces = [s[i : i + SHAPE_LENGTH] for i in range(0, len(s), SHAPE_LENGTH)]
+        if len(word) <= CACHED_LENGTH:
+            if len(self) > CACHED_WORDS:
+                self.clear()
+            self[word] = pieces
+        return pieces
 
 
 def ngrams(text: str | None, shapes: Shapes, mask: int) -> list[int]:
     """Hashed n-grams of the whole text, each once, ascending."""
     words = (text or "").split()
-    s = [shapes[w] for w in words]
-    for i in range(1, len(words)):
-        if words[i] == words[i - 1]:
-            s[i] += "="
+    s, before = [], None
+    for w in words:
+        s += shapes[w]
+        if w == before:
+            s[-1] += "="
+        before = w
     found = {*s, *map("\t".join, set(zip(s, s[1:], strict=False))), *map("\t".join, set(zip(s, s[1:], s[2:], strict=False)))}
     return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in found})
 

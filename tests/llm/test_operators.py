@@ -107,6 +107,16 @@ def test_shapes():
     assert [quality.shape(w) for w in ("Hello", "HELLO!!", "été", "a1b2", "$$$", "日本", "|")] == ["Aa", "A!!", "a", "a0a0", "$$$", "x", "|"]
 
 
+def test_every_part_of_an_unbroken_text_takes_part():
+    grams = lambda t: quality.ngrams(t, quality.Shapes(), (1 << 18) - 1)
+    for sign, n in (("日本,", 4), ("日本,", 400), ("ab1", 30), ("{x}", 40_000)):
+        for end in ("$", "1$", "$$"):
+            assert grams(sign * n + "%" + end) != grams(sign * n + "%"), (sign, n, end)
+        assert grams("$" + sign * n) != grams(sign * n)
+    assert "".join(quality.Shapes()["a,B1" * 100]) == quality.shape("a,B1" * 100) == "a,A0" * 100
+    assert grams("ab 12 12") == grams(" ab\n12\t12") != grams("ab 12 34")
+
+
 def test_descent_solves_the_dual():
     r = np.random.default_rng(2)
     x = [np.unique(r.integers(0, 12, 4)) for _ in range(80)]
