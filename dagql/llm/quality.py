@@ -5,8 +5,10 @@ successive pieces of that length; a word that repeats the one before it is marke
 dual coordinate descent. A logistic curve, fitted on rows that the descent didn't see, turns margins into scores from
 0 to 1.
 
-The counts cover all labelled rows; the descent and the curve are fitted on a bounded sample of them, the
-``sample_rows`` with the smallest hash. n-grams are hashed to ``1 << bits`` numbers, so the model's size is fixed.
+The counts cover all labelled rows; the descent and the curve are fitted on at most ``sample_rows`` distinct texts, of each
+class those with the smallest hash: half of them of each, or more where the other has fewer. A text counts once however
+many copies it has, and its hash says whether the descent or the curve sees it; the curve weights the classes back to
+their shares of distinct texts. n-grams are hashed to ``1 << bits`` numbers, so the model's size is fixed.
 
 Defined results: null and empty texts have no n-gram and get the score of the bias alone; of several labels of one
 document the highest counts; null labels don't count; without labelled rows of both classes each score is the rate of
@@ -95,16 +97,16 @@ def dual_descent(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: np.ndarra
     return w, bias
 
 
-def logistic_curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+def logistic_curve(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """slope and shift of 1 / (1 + exp(-(slope * margin + shift))), by Newton steps with a weak pull to slope 1."""
-    n1, n0 = label.sum(), (1 - label).sum()
+    n1, n0 = weight[label == 1].sum(), weight[label == 0].sum()
     t = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     ab = np.array([1.0, 0.0])
     m = np.stack([margin, np.ones_like(margin)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(m @ ab, -30, 30)))
-        g = m.T @ (p - t) + 1e-2 * (ab - np.array([1.0, 0.0]))
-        h = (m * (p * (1 - p))[:, None]).T @ m + 1e-2 * np.eye(2)
+        g = m.T @ (weight * (p - t)) + 1e-2 * (ab - np.array([1.0, 0.0]))
+        h = (m * (weight * p * (1 - p))[:, None]).T @ m + 1e-2 * np.eye(2)
         step = np.linalg.solve(h, g)
         ab -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
@@ -123,6 +125,20 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * m + self.shift))))
 
 
+def sample_of(rows: DataFrame, texts: dict[int, int], sample_rows: int) -> list:
+    """y, h and g of at most sample_rows distinct texts, by h. texts: how many of each class there are."""
+    some = F.lit(False)
+    for y, n in texts.items():
+        take = min(n, max(1, sample_rows // 2, sample_rows - texts[1 - y]))
+        mine = F.col("y") == y
+        if take < n:
+            # the last of so many hashes, the smallest first
+            last = rows.where(mine).select("h").distinct().orderBy("h").limit(take).toArrow().column("h").to_numpy().max()
+            mine &= F.col("h") <= int(last)
+        some |= mine
+    return sorted(rows.where(some).dropDuplicates(["y", "h"]).collect(), key=lambda r: (r["h"], r["y"]))
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", bits: int = 18, sample_rows: int = 20_000, cost: float = 1.0) -> Model:
     """A model from rows with a text and a label of 0 or 1."""
     mask = (1 << bits) - 1
@@ -134,15 +150,17 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", bits: int
 
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     rows = cut(rows.mapInArrow(run, "y int, h long, g array<int>"))
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    sizes = rows.groupBy("y", "h").count().groupBy("y").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("texts")).collect()
+    n = {r["y"]: r["n"] for r in sizes}
     if len(n) < 2:
         rate = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
         return Model(bits, np.zeros(1 << bits), 0.0, 1.0, math.log(rate / (1 - rate)))
     counts = rows.select("y", F.explode("g").alias("g")).groupBy("g", "y").count().toArrow()  # at most 2 << bits rows
     r = ratios(*(counts.column(c).to_numpy() for c in ("g", "y", "count")), (n[0], n[1]), bits)
-    sample = rows.orderBy("h", "y").limit(sample_rows).collect()
+    texts = {r["y"]: r["texts"] for r in sizes}
+    sample = sample_of(rows, texts, sample_rows)
     x, y = [np.array(s["g"], np.int64) for s in sample], np.array([s["y"] for s in sample])
-    fits = np.arange(len(x)) % 4 != 3
+    fits = np.array([s["h"] % 4 != 3 for s in sample])
     if len(set(y[fits])) < 2 or len(set(y[~fits])) < 2:
         fits[:] = True
     sign = np.where(y == 1, 1.0, -1.0)
@@ -152,7 +170,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", bits: int
     value = w * r
     rest = np.flatnonzero(~fits) if not fits.all() else at
     margin = np.array([bias + (value[x[i]].sum() / math.sqrt(len(x[i])) if len(x[i]) else 0.0) for i in rest])
-    return Model(bits, value, bias, *logistic_curve(margin, y[rest]))
+    share = np.array([texts[k] / (y == k).sum() for k in (0, 1)])  # texts that one of the sample stands for
+    return Model(bits, value, bias, *logistic_curve(margin, y[rest], (share / share.min())[y[rest]]))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:

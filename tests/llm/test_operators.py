@@ -139,6 +139,22 @@ def test_quality_of_odd_rows(spark):
     assert quality.fit(d.limit(0)).score([]) == pytest.approx(0.5)
 
 
+def test_copies_do_not_fill_the_quality_sample(spark):
+    r = random.Random(12)
+    rows = [(" ".join(r.choice(["Good", "fine", "Nice1", "text,"]) for _ in range(12)), 1) for _ in range(150)] + [(" ".join(r.choice(["BAD!!", "$$$", "text,"]) for _ in range(12)), 0) for _ in range(150)]
+    d = spark.createDataFrame(rows, "text string, label int")
+    first = d.orderBy(F.xxhash64("text")).first()
+    copied = d.union(spark.createDataFrame([tuple(first)] * 400, d.schema))
+    m = quality.fit(copied, sample_rows=100)
+    right = [(m.score(quality.ngrams(t, quality.Shapes(), (1 << m.bits) - 1)) >= 0.5) == (y == 1) for t, y in rows]
+    assert np.mean(right) > 0.95
+    seen = copied.select(F.col("label").alias("y"), F.xxhash64("text").alias("h"), F.array(F.lit(1)).alias("g"))
+    sample = quality.sample_of(seen, {0: 150, 1: 150}, 100)
+    assert len({(x.y, x.h) for x in sample}) == len(sample) == 100 and sum(x.y for x in sample) == 50
+    few = seen.join(seen.where("y = 1").select("y", "h").distinct().orderBy("h").limit(7).withColumn("few", F.lit(1)), ["y", "h"], "left").where("y = 0 or few = 1").drop("few")
+    assert [sum(x.y == k for x in quality.sample_of(few, {0: 150, 1: 7}, 100)) for k in (0, 1)] == [93, 7]
+
+
 # Secrets
 
 
