@@ -7,7 +7,9 @@ ranges is scored exactly, in double precision. Queries come in blocks, each bloc
 shards are merged.
 
 Inner products are turned into angles first: vectors get one more component, so that all are as long as the longest
-(Neyshabur and Srebro, 2015); a query's is 0.
+(Neyshabur and Srebro, 2015); a query's is 0. Where lengths differ much, that component turns all vectors away from the
+query, so a shard is cut into bands of lengths within a factor of ``SPREAD``, and each band that holds more than
+``BUDGET`` vectors has a forest and the budget of its own. All vectors of the smaller bands are scored.
 
 Equal vectors are one entry with its smallest ids, as many as a result may need, so that a vector that a third of the
 rows share costs no more than another, and every result is as if each row had been searched.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from dagql.llm.common import cut, table
 
 SHARD, QUERIES, TREES, BITS, BUDGET, SEED = 8192, 8192, 128, 16, 4000, 11
+SPREAD = 1.02
 
 
 class Forest:
@@ -75,12 +78,51 @@ class Forest:
         for a in range(0, len(queries), 256):
             block = queries[a : a + 256]
             for q, at in zip(block, self.candidates(block, budget), strict=True):
-                score = np.einsum("ij,j->i", self.vectors[at], q)
-                if len(at) > 4 * k:
-                    near = score >= np.partition(score, len(at) - k)[len(at) - k]
-                    at, score = at[near], score[near]
-                best = np.lexsort((ids[at], -score))[:k]
-                yield at[best], score[best]
+                yield best_of(at, np.einsum("ij,j->i", self.vectors[at], q), ids, k)
+
+
+def best_of(at: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the entries ``at``; ties by ids."""
+    if len(at) > 4 * k:
+        near = score >= np.partition(score, len(at) - k)[len(at) - k]
+        at, score = at[near], score[near]
+    best = np.lexsort((ids[at], -score))[:k]
+    return at[best], score[best]
+
+
+def bands(vectors: np.ndarray, spread: float = SPREAD) -> Iterator[np.ndarray]:
+    """Entry numbers of each band of lengths, the longest vectors first; within one, lengths differ by at most the factor."""
+    most = np.abs(vectors).max(1)
+    depth = -(np.log(most) + np.log(((vectors / most[:, None]) ** 2).sum(1)) / 2)  # so that no square is 0 or infinite
+    order = np.argsort(depth, kind="stable")
+    depth = depth[order]
+    a = 0
+    while a < len(order):
+        e = int(np.searchsorted(depth, depth[a] + np.log(spread), "right"))
+        yield order[a:e]
+        a = e
+
+
+class Bands:
+    """Nonzero vectors of any lengths: forests over the bands of more than ``budget`` vectors, the rest scored whole."""
+
+    def __init__(self, vectors: np.ndarray, budget: int = BUDGET):
+        self.budget = budget
+        vectors = vectors.astype(np.float64)
+        parts = list(bands(vectors))
+        self.forests = [(p, Forest(vectors[p])) for p in (np.sort(p) for p in parts if len(p) > budget)]
+        self.whole = np.sort(np.concatenate([np.empty(0, np.int64), *(p for p in parts if len(p) <= budget)]))
+        self.rest = vectors[self.whole]
+
+    def nearest(self, queries: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As those of a forest, over all bands."""
+        found = [f.nearest(queries, ids[p], k, self.budget) for p, f in self.forests]
+        for q in queries.astype(np.float64):
+            each = [best_of(self.whole, np.einsum("ij,j->i", self.rest, q), ids, k)]
+            for (p, _), f in zip(self.forests, found, strict=True):
+                at, score = next(f)
+                each.append((p[at], score))
+            yield best_of(*(np.concatenate(x) for x in zip(*each, strict=True)), ids, k)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -115,7 +157,7 @@ def _search(k: int, budget: int):
                 continue
             own, q = ~asks, np.flatnonzero(asks)
             entries, ids = gid[own], least[own]
-            found = list(Forest(x[own]).nearest(x[q], ids, k, budget))
+            found = list(Bands(x[own], budget).nearest(x[q], ids, k))
             at, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             asked = np.repeat(gid[q], [len(f[0]) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(entries[at]), pa.array(score)], names=["asked", "gid", "score"])

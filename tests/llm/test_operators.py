@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,30 @@ def test_forest_recall():
     assert np.mean([len(set(f[0]) & set(b)) / 20 for f, b in zip(found, best, strict=True)]) >= 0.9
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.02, 0.3, 0.5])
+def test_recall_with_spread_lengths(sigma):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((8192, 64))
+    x *= (np.exp(sigma * r.standard_normal(len(x))) / np.linalg.norm(x, axis=1))[:, None]
+    q = r.choice(len(x), 60, replace=False)
+    no, at = np.zeros(len(x) + len(q), np.int32), np.concatenate([np.arange(len(x)), q])
+    batch = pa.record_batch({"shard": no, "block": no, "asks": np.arange(len(at)) >= len(x), "gid": at, "least": at, "v": pa.array(list(x[at]))})
+    found = next(ann._search(20, ann.BUDGET)(iter([batch]))).to_pandas()
+    best = np.argsort(-(x[q] @ x.T), axis=1)[:, :20]
+    recall = [len(set(found.gid[found.asked == i]) & set(b)) / 20 for i, b in zip(q, best, strict=True)]
+    assert np.mean(recall) >= 0.9 and (sigma < 0.1 or min(recall) == 1)
+
+
+def test_bands_hold_every_vector_once():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((500, 8)) * 10.0 ** r.integers(-200, 200, 500)[:, None]
+    got = list(ann.bands(x))
+    assert sorted(np.concatenate(got)) == list(range(500))
+    one = x[:1] / np.abs(x[0]).max() * np.linspace(1, 1.015, 50)[:, None]
+    assert [len(b) for b in ann.bands(one)] == [50]
+    assert ann.SPREAD < 1.1 and len(list(ann.bands(np.concatenate([one, 2 * one])))) == 2
+
+
 # Quality
 
 
