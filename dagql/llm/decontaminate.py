@@ -12,7 +12,9 @@ Words are those of ``WORD`` after A-Z to a-z. A window is ``window`` consecutive
 but not none, is one window. Document words inside any occurrence of a window are hit.
 
 Defined results: null and empty texts have no words and are never hit; items without words never occur; repeated rows
-are judged alike, each giving its row; item ids that repeat count once; with an empty test table nothing is hit.
+are judged alike, each giving its row; item ids that repeat count once; with an empty test table nothing is hit. With
+``unnamed`` (as in the query and the pipeline) items of a null id hit words as any other and are in no list of ids;
+without it they take no part.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[str]]], window: int):
         self.window = window
         self.names = [name for name, _ in items]
         hashes = [_HASHER(np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8))[1] for _, words in items]
@@ -106,7 +108,7 @@ def _search_shard(texts: list[bytes], tests: TestSuffixes) -> list[tuple[int, np
     return [(int(b - a), np.flatnonzero(hit[a:b]), found[i]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_words: int = 500_000, shard_bytes: int = 2_000_000) -> DataFrame:
+def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_words: int = 500_000, shard_bytes: int = 2_000_000, unnamed: bool = False) -> DataFrame:
     """keep, n_words, n_hit, items (sorted array of item ids as strings) and contaminated of each document."""
     keep = list(docs.columns if keep is None else keep)
     d = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"), F.lit(0).cast("long").alias("__n"), F.lit(None).cast("binary").alias("__hit"), F.array().cast("array<string>").alias("__items"))
@@ -120,7 +122,7 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, text: st
                     hit = np.union1d(hit, np.frombuffer(old, "<i8"))
                 n.append(words)
                 hits.append(hit.astype("<i8").tobytes() if len(hit) else None)
-                items.append(sorted({*(known or ()), *(tests.names[i] for i in found)}))
+                items.append(sorted({*(known or ()), *(tests.names[i] for i in found)} - {None}))
             new = {"__n": pa.array(n, pa.int64()), "__hit": pa.array(hits, pa.binary()), "__items": pa.array(items, pa.list_(pa.string()))}
             return pa.RecordBatch.from_arrays([new.get(c, before.column(c)) for c in before.schema.names], names=before.schema.names)
 
@@ -131,10 +133,11 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, text: st
 
         return run
 
-    block: list[tuple[str, list[str]]] = []
+    block: list[tuple[str | None, list[str]]] = []
     size = 0
     steps = []
-    for name, t in items.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull()).toLocalIterator():
+    searched = items.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull() | F.lit(unnamed))
+    for name, t in searched.toLocalIterator():
         words = _WORD.findall((t or "").translate(_LOWER))
         if words:
             block.append((name, words))
@@ -150,7 +153,7 @@ def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, text: st
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     """What of the benchmark each document holds, by windows of 10 words."""
-    d = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, keep=["doc_id"])
+    d = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, keep=["doc_id"], unnamed=True)
     return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 

@@ -1,5 +1,7 @@
 """The registered queries: against their SQL, or by what holds of any right result."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,25 @@ def test_pipeline_stages(spark):
     assert got.count() == before.count() and got.columns == ["doc_id", "source", "size", "text_crc32", "shard", "slot"]
 
 
+def test_benchmark_items_without_an_id_count(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"i{k}" for k in range(12))
+    named = " ".join(f"j{k}" for k in range(12))
+    docs = [(1, f"so {item} ends"), (2, f"{named} and {item}"), (3, "nothing of it"), (4, " ".join(item.split()[:9])), (5, "lone word"), (6, None)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, item), (7, named), (None, "lone word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in entries.queries()["op9_decontaminate"](spark, str(tmp_path)).collect()}
+    assert got == {1: (12, 0, True), 2: (24, 1, True), 3: (0, 0, False), 4: (0, 0, False), 5: (2, 0, True), 6: (0, 0, False)}
+    kept = corpus_pipeline.benchmark_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6]
+    for name in ("documents", "benchmark"):  # DuckDB reads files, not folders
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").toPandas().astype({"item_id": "Int64"} if name == "benchmark" else {}).to_parquet(f"{tmp_path}/one_{name}.parquet")
+        shutil.rmtree(tmp_path / f"{name}.parquet")
+        (tmp_path / f"one_{name}.parquet").rename(tmp_path / f"{name}.parquet")
+    assert_same(entries.queries()["op9_decontaminate"](spark, str(tmp_path)), entries.oracle_sql()["op9_decontaminate"], str(tmp_path))
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
