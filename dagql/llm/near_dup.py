@@ -178,6 +178,7 @@ def _block_pairs(least: float, percent: int, top: int):
         n = n.astype(float)
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
         short = None if top else [np.frombuffer(x, np.uint32) for x in t.column("short").to_pylist()]
+        lost = None if top else n - [len(s) for s in short]  # what two rows share loses no more than either row as a whole
         us, vs = [], []
         for own, other in [(k == i, k == j)] if i == j else [(k == i, k == j), (k == j, k == i)]:
             b = np.flatnonzero(other)
@@ -195,7 +196,7 @@ def _block_pairs(least: float, percent: int, top: int):
                 if not top and len(at):
                     same = (regs[a, : BAND * BANDS] == regs[at, : BAND * BANDS]).reshape(len(at), BANDS, BAND).all(2)
                     at = at[same.argmax(1) == band]
-                    both = np.array([len(np.intersect1d(short[a], short[x], assume_unique=True)) + 2 for x in at])
+                    both = np.array([len(np.intersect1d(short[a], short[x], assume_unique=True)) + min(lost[a], lost[x]) for x in at])
                     at = at[100 * both >= percent * (n[a] + n[at] - both)] if len(at) else at
                 us += np.minimum(ids[a], ids[at]).tolist()
                 vs += np.maximum(ids[a], ids[at]).tolist()

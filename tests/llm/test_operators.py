@@ -284,6 +284,16 @@ def test_registers_merge_and_find_similar_sets():
     assert (near_dup.registers([pool[:1]]) > 0).all()
 
 
+@pytest.mark.parametrize(("lost", "stays"), [((10, 10), True), ((10, 40), True), ((9, 40), False), ((0, 0), False)])
+def test_short_sets_refute_no_pair_at_the_threshold(lost, stays):
+    # 900 shingles each; 800 in common are just enough, of which 790 are seen
+    sets = [np.concatenate([np.arange(790), 10_000 * (i + 1) + np.arange(110 - x)]).astype(np.uint32) for i, x in enumerate(lost)]
+    regs = bytes([9]) * near_dup.REGISTERS
+    batch = pa.record_batch({"bucket": [1, 1], "i": [0, 0], "j": [0, 0], "k": [0, 0], "band": [0, 0], "id": [1, 2], "component": [1, 2], "n": [900, 900], "regs": [regs] * 2, "main": [False, True], "short": [s.tobytes() for s in sets]})
+    got = [tuple(r.values()) for b in near_dup._block_pairs(0.7, 80, 0)(iter([batch])) for r in b.to_pylist()]
+    assert got == ([(1, 2)] if stays else [])
+
+
 def test_components(spark):
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(30)] + [(100, 101 + i) for i in range(20)] + [(200, 200), (300, 301), (301, 300)]
