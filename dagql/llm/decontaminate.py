@@ -2,8 +2,9 @@
 
 Each task takes its documents in shards of a bounded number of bytes. A shard's words become numbers of the test
 vocabulary (0: in no test item); its suffixes, as far as the depth asked for and the next word unknown to the tests,
-are sorted, and every test suffix is looked up by binary search: the range it selects holds all its verbatim
-occurrences with their locations. Nothing is shuffled; a document is judged in the task that reads it.
+are sorted, and every test suffix, cut to ``window`` words, is looked up by binary search: the range it selects holds all
+verbatim occurrences of that window. Windows are not extended to the longest matches, and the places of hits are counted,
+not returned. Nothing is shuffled; a document is judged in the task that reads it.
 
 The tests are the side of bounded size: they come in blocks of at most ``block_words`` words, each block one pass over
 the documents that adds its hits to those of the passes before it, so any number of items is handled.
