@@ -1,7 +1,8 @@
-"""Removal of repeated byte strings by bucket-pointer refinement.
+"""Removal of repeated byte strings by anchors and window hashes, in place of bucket-pointer refinement.
 
 Every string of ``length`` bytes that starts at two places or more, in any documents, is found, and each byte that one
-covers is removed. The suffixes are refined as bucket-pointer refinement does it, only over the corpus at once:
+covers is removed. Bucket-pointer refinement itself isn't what runs: no suffixes are ordered, and no buckets are refined by
+the identifiers of buckets at later offsets, recursively. Winnowed anchors and hashes of whole windows replace it:
 
 1. Initial buckets. Each window of ``length`` bytes points to one q-gram in it, the smallest by a fixed order (so equal
    windows point to equal q-grams at equal offsets). The bucket of these anchors is the q-gram's number. Some 0.6 % of
