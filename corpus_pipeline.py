@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagql.llm import decontaminate, mix, near_dup, quality, shard
-from dagql.llm.common import cut_table
+from dagql.llm.common import cut
 
 LEAST_QUALITY, ENTROPY, MOST_REPEATS, SHARDS = 0.5, 0.9, 2.0, 16
 
@@ -58,5 +58,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = cut_table(stage(spark, docs, sf_dir))
+        docs = cut(stage(spark, docs, sf_dir))
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -15,30 +16,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so lost executors cost no recomputation.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests) a
-    folder of this machine is used.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="dagql-checkpoint-"))
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, a folder of this machine, but only
+    for a session that runs on this machine alone."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="dagql-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder
 
 
-def cut_table(df: DataFrame) -> DataFrame:
-    """The same by a Parquet table in that folder: packed, and read again by columns. The table stays until the folder goes."""
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a Parquet table to the shared folder and read it back: lost executors cost no recomputation, rows are
+    packed and read by columns, and the planner's sizes start from the files. The table stays until it is forgotten."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dagql-checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.dagql_table = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.dagql_table)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted: executors keep them until the driver, whose heap hardly fills, collects
+    its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ascii_lower(c: Column) -> Column:

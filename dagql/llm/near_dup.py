@@ -8,29 +8,33 @@ larger, smaller and equal registers and the exact set sizes; pairs that may reac
 sets. Two sets at similarity 0.8 share no band with probability below 1e-6.
 
 Work follows the links, not the pairs of a group. Documents of equal sets are one class. First each class is verified
-against the smallest class of the bucket it shares most bands with, so a large group is joined by a star; then, twice,
-against a few of the likeliest classes of other components; in the end all pairs of a bucket that are still of different
-components are estimated, in blocks of bounded size, and the likely ones are compared there by 32-bit hashes of their
-shingles before the rest is verified. So no link between components is
-passed over, and no group is collected or expanded into its pairs.
+against the smallest class of the bucket it shares most bands with, so a large group is joined by a star; then against a
+few of the likeliest classes of other components. In the end the classes outside their bucket's largest component ask all
+others of the bucket, in blocks of bounded size; the likely pairs are compared there by 32-bit hashes of their shingles
+before the rest is verified. So no link between components is passed over, and no pair within a component is made. What
+the last step compares is the product of those outside the largest component and the bucket; only where a bucket
+holds many texts that are alike but below the threshold is that more than a multiple of its size.
 
 Defined results: null and empty texts, and those without a word, have the empty set, are linked with nothing and stay;
 texts of fewer words than a shingle are one shingle; rows of a null id take no part and stay, with a null component;
-repeated rows are copies of each other; an empty table gives an empty result.
+repeated rows are copies of each other; a text of any length is read whole; of equal choices (the smallest class, the
+likeliest) the result doesn't depend, since components are the same whichever link joins them; input columns other than
+id and text don't matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dagql.llm.ann import sorted_groups
-from dagql.llm.common import cut, cut_table, table
+from dagql.llm.common import cut, forget, release, table
 from dagql.llm.components import components
 from dagql.llm.words import WordHasher, mix, shards
 
@@ -167,39 +171,37 @@ def _short_sets(words: int):
 
 
 def _block_pairs(least: float, percent: int, top: int):
-    """Rows (bucket, i, j, k, band, id, component, n, regs, main[, short]), sorted by bucket, i, j; k is the row's block, main
-    whether its component is the bucket's largest. Gives pairs of blocks i and j whose components differ. With ``top``: for
-    each row beside the main component those likely ones with most equal registers. Else all that are likely and whose
-    short sets have enough in common, in the first band that both share."""
+    """Rows (bucket, i, j, asks, aim, band, id, component, n, regs[, short]), sorted by bucket, i, j. Gives pairs of one that
+    asks and an aim whose components differ. With ``top``: for each that asks the likely aims with most equal registers.
+    Else all that are likely and whose short sets have enough in common, in the first band that both share."""
 
     def pairs(t: pa.Table) -> tuple[list, list]:
-        i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
-        k, ids, comp, n, main = (t.column(c).to_numpy() for c in ("k", "id", "component", "n", "main"))
+        band = t.column("band")[0].as_py()
+        asks, aim = (t.column(c).to_numpy() for c in ("asks", "aim"))
+        ids, comp, n = (t.column(c).to_numpy() for c in ("id", "component", "n"))
         n = n.astype(float)
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
         short = None if top else [np.frombuffer(x, np.uint32) for x in t.column("short").to_pylist()]
         lost = None if top else n - [len(s) for s in short]  # what two rows share loses no more than either row as a whole
+        b = np.flatnonzero(aim > 0)
         us, vs = [], []
-        for own, other in [(k == i, k == j)] if i == j else [(k == i, k == j), (k == j, k == i)]:
-            b = np.flatnonzero(other)
-            for a in np.flatnonzero(own & ~main):
-                # of two rows beside the main component, only one asks for the other
-                once = main[b] | ((ids[b] > ids[a]) if i == j else k[a] == i) if not top else True
-                at = b[(comp[b] != comp[a]) & once & (ids[b] != ids[a])]
-                if not len(at):
-                    continue
-                more, less = (regs[a] > regs[at]).sum(1), (regs[a] < regs[at]).sum(1)
-                ok = reaches(least, more, less, np.full(len(at), n[a]), n[at])
-                at, apart = at[ok], (more + less)[ok]
-                if top and len(at) > top:
-                    at = at[np.argpartition(apart, top)[:top]]
-                if not top and len(at):
-                    same = (regs[a, : BAND * BANDS] == regs[at, : BAND * BANDS]).reshape(len(at), BANDS, BAND).all(2)
-                    at = at[same.argmax(1) == band]
-                    both = np.array([len(np.intersect1d(short[a], short[x], assume_unique=True)) + min(lost[a], lost[x]) for x in at])
-                    at = at[100 * both >= percent * (n[a] + n[at] - both)] if len(at) else at
-                us += np.minimum(ids[a], ids[at]).tolist()
-                vs += np.maximum(ids[a], ids[at]).tolist()
+        for a in np.flatnonzero(asks):
+            # aim 1: one that doesn't ask itself, so all ask for it; 2: of two that ask, the smaller does
+            at = b[(comp[b] != comp[a]) & (ids[b] != ids[a]) & (True if top else (aim[b] == 1) | (ids[b] > ids[a]))]
+            if not len(at):
+                continue
+            more, less = (regs[a] > regs[at]).sum(1), (regs[a] < regs[at]).sum(1)
+            ok = reaches(least, more, less, np.full(len(at), n[a]), n[at])
+            at, apart = at[ok], (more + less)[ok]
+            if top and len(at) > top:
+                at = at[np.argpartition(apart, top)[:top]]
+            if not top and len(at):
+                same = (regs[a, : BAND * BANDS] == regs[at, : BAND * BANDS]).reshape(len(at), BANDS, BAND).all(2)
+                at = at[same.argmax(1) == band]
+                both = np.array([len(np.intersect1d(short[a], short[x], assume_unique=True)) + min(lost[a], lost[x]) for x in at])
+                at = at[100 * both >= percent * (n[a] + n[at] - both)] if len(at) else at
+            us += np.minimum(ids[a], ids[at]).tolist()
+            vs += np.maximum(ids[a], ids[at]).tolist()
         return us, vs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +223,7 @@ def _texts_of(ids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose full sets reach the threshold."""
-    ids = cut(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
+    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
     sets = _texts_of(ids, classes, texts).mapInArrow(_full_sets(words), "id long, s array<long>").dropDuplicates(["id"])
     d = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     both = F.size(F.array_intersect("su", "sv"))
@@ -237,52 +239,71 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     rows = cut(texts.mapInArrow(_sketch(words), "id long, key long, n long, set long, regs binary"))
     texts = texts.select("key", "t")
     number = F.xxhash64("set", "n")  # of a class; ids may repeat with other texts
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("set", "n").agg(F.min("key").alias("key"), F.min("regs").alias("regs"))
-    classes = cut(classes.select(number.alias("id"), "n", "key", "regs"))
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("set", "n").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.min("regs").alias("regs"))
+    classes = cut(classes.select(number.alias("id"), "n", "least", "key", "regs"))
     info = classes.select("id", "n", "regs")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("regs", k * BAND + 1, F.lit(BAND))))
     bands = classes.select("id", "n", band.alias("band", "b")).select("id", "n", "band", F.xxhash64("band", "b").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk")).where("size > 1")
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bulk") / BLOCK_SHINGLES)).cast("int")
-    members = cut_table(bands.join(shared, "bucket").select("bucket", "band", blocks.alias("blocks"), "u", F.col("id").alias("v")))
+    shared = bands.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    members = cut(bands.join(shared, "bucket").select("bucket", "band", "u", F.col("id").alias("v")))
 
     # each class with the smallest of the bucket it shares most bands with
-    most = members.where("u <> v").groupBy("v", "u").count().groupBy("v").agg(F.max_by("u", F.struct("count", -F.col("u"))).alias("u"))
+    most = members.where("u <> v").groupBy("v").agg(F.mode("u", True).alias("u"))
     a, b = info.select(F.col("id").alias("u"), F.col("n").alias("na"), F.col("regs").alias("ra")), info.select(F.col("id").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    star = most.join(a, "u").join(b, "v").select("u", "v", "na", "nb", "ra", "rb")
-    tested = cut(star.mapInArrow(_likely(least), "u long, v long"))
-    links = _verified(tested, classes, texts, words, percent)
-
-    labels = components(links)
+    star = most.join(b, "v").join(a, "u").select("u", "v", "na", "nb", "ra", "rb")
+    tested = [cut(star.mapInArrow(_likely(least), "u long, v long"))]
+    links = [_verified(tested[0], classes, texts, words, percent)]
+    labels = components(links[0])
 
-    # then pairs of different components: for each class a few of the likeliest, twice; then all that are likely
-    for top in (LIKELIEST, LIKELIEST, 0):
+    # then pairs of different components: for each class a few of the likeliest; then all that are likely
+    for top in (LIKELIEST, 0):
         m = members.where(F.col("band") < SOME_BANDS) if top else members
-        m = m.select("bucket", "band", "blocks", F.col("v").alias("id")).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = m.groupBy("bucket", "component").count().groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("count", "component")).alias("largest"))
-        m = m.join(parts.where("parts > 1").drop("parts"), "bucket").join(info, "id")
-        m = m.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        columns = ["bucket", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "band", "id", "component", "n", "regs", (F.col("component") == F.col("largest")).alias("main")]
+        m = m.select("bucket", "band", F.col("v").alias("id")).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = m.join(info.select("id", "n"), "id").groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("bulk"))
+        size, bulk, largest = F.sum("size"), F.sum("bulk"), F.max(F.struct("size", "bulk", "component"))
+        blocks = lambda size, bulk: F.ceil(F.greatest(size / BLOCK, bulk / BLOCK_SHINGLES)).cast("int")
+        parts = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), largest["component"].alias("largest"), blocks(size, bulk).alias("blocks"), blocks(size - largest["size"], bulk - largest["bulk"]).alias("asking"))
+        held = m = cut(m.join(parts.where("parts > 1").drop("parts"), "bucket").withColumn("asks", F.col("component") != F.col("largest")))
+        payload = info
         if not top:
-            m = cut_table(m)
             short = _texts_of(cut(m.select("id").distinct()), classes, texts).mapInArrow(_short_sets(words), "id long, short binary").dropDuplicates(["id"])
-            m, columns = m.join(short, "id"), [*columns, "short"]
-        m = m.withColumn("other", F.col("k") if top else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        m = m.select(*columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+            payload = info.join(short, "id")
+        m = m.join(payload, "id").withColumn("aim", F.when(F.col("asks"), 2).otherwise(1)).drop("largest")
+
+        def block(of: str) -> Column:
+            return F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+
+        def every(of: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+        if top:
+            m = m.withColumn("i", block("blocks")).withColumn("j", F.col("i"))
+        else:  # one block of all holds those that ask and are aims, if there are few
+            whole = (F.col("blocks") == 1) & (F.col("asking") == 1)
+            asking = m.where(F.col("asks") & ~whole).withColumn("aim", F.lit(0)).withColumn("i", block("asking")).withColumn("j", every("blocks"))
+            aims = m.withColumn("asks", F.col("asks") & whole).withColumn("j", block("blocks")).withColumn("i", every("asking"))
+            m = asking.unionByName(aims)
+        m = m.drop("blocks", "asking").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         found = m.mapInArrow(_block_pairs(least, percent, top), "u long, v long").distinct()
-        found = cut(found.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-        if found.isEmpty():
+        for before in tested:
+            found = found.join(before.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+        tested.append(cut(found))
+        forget(held)
+        if tested[-1].isEmpty():
+            continue
+        new = _verified(tested[-1], classes, texts, words, percent)
+        if new.isEmpty():
             continue
-        tested, new = tested.union(found), _verified(found, classes, texts, words, percent)
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
-
-    found = labels.select(F.col("id").alias("class"), "component")
-    out = rows.select("id", "key", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), number).alias("class")).join(found, "class", "left")
-    out = out.withColumn("component", F.coalesce("component", "class"))
-    least = out.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
-    out = out.join(least, "component", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.col("key").alias("text_key"), F.col("component").alias("group_key"))
+        links.append(new)
+        release(docs.sparkSession)
+        labels = components(reduce(DataFrame.unionByName, links))
+    forget(members, *tested, *links)
+
+    of = classes.select("id", "least").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = of.groupBy("component").agg(F.min("least").alias("first"))
+    of = of.join(first, "component").select(F.col("id").alias("class"), "component", "first")
+    out = rows.select("id", "key", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), number).alias("class")).join(of, "class", "left")
+    out = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"), F.col("key").alias("text_key"), F.col("component").alias("group_key"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dagql.llm.ann import sorted_groups
-from dagql.llm.common import cut, cut_table, table
+from dagql.llm.common import cut, table
 from dagql.llm.words import mix, shards
 
 Q = 64
@@ -219,12 +219,12 @@ def find_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id:
     any. a and c are the text's ``keys``; rows of equal id and text share them and their cover."""
     t = docs.select(*keys(doc_id, text), F.encode(text, "UTF-8").alias("t")).where(F.octet_length("t") >= length)
     found = docs.select(*keys(doc_id, text), F.col(text).alias("t")).where(F.octet_length("t") >= length)
-    found = cut_table(found.mapInArrow(_anchors(length), "a long, c int, at long, gram long, span long"))
+    found = cut(found.mapInArrow(_anchors(length), "a long, c int, at long, gram long, span long"))
     who = F.xxhash64("a", "c", "at")
     spans = found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("who"))
     grams = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("spans"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
     placed = found.join(spans.join(grams, "gram"), ["gram", "span"])
-    placed = cut_table(placed.select("a", "c", "at", "gram", "spans", (F.col("n") == 1).alias("single"), (F.col("who") == who).alias("stands")))
+    placed = cut(placed.select("a", "c", "at", "gram", "spans", (F.col("n") == 1).alias("single"), (F.col("who") == who).alias("stands")))
     first, last = F.floor(F.col("at") / length), F.floor(F.col("at") / length) + F.col("at") % length
     cover = placed.where("NOT single").select("a", "c", first.alias("from"), (last + length).alias("to"))
 

@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dagql.llm import ann, decontaminate, lang_id, mix, near_dup, quality, secrets, shard, substrings, url_filter
+from dagql.llm import ann, common, decontaminate, lang_id, mix, near_dup, quality, secrets, shard, substrings, url_filter
+from dagql.llm import components as components_module
 from dagql.llm.components import components
 from dagql.llm.url_filter import UrlRule
 
@@ -289,17 +290,21 @@ def test_short_sets_refute_no_pair_at_the_threshold(lost, stays):
     # 900 shingles each; 800 in common are just enough, of which 790 are seen
     sets = [np.concatenate([np.arange(790), 10_000 * (i + 1) + np.arange(110 - x)]).astype(np.uint32) for i, x in enumerate(lost)]
     regs = bytes([9]) * near_dup.REGISTERS
-    batch = pa.record_batch({"bucket": [1, 1], "i": [0, 0], "j": [0, 0], "k": [0, 0], "band": [0, 0], "id": [1, 2], "component": [1, 2], "n": [900, 900], "regs": [regs] * 2, "main": [False, True], "short": [s.tobytes() for s in sets]})
+    batch = pa.record_batch({"bucket": [1, 1], "i": [0, 0], "j": [0, 0], "asks": [True, False], "aim": [2, 1], "band": [0, 0], "id": [1, 2], "component": [1, 2], "n": [900, 900], "regs": [regs] * 2, "short": [s.tobytes() for s in sets]})
     got = [tuple(r.values()) for b in near_dup._block_pairs(0.7, 80, 0)(iter([batch])) for r in b.to_pylist()]
     assert got == ([(1, 2)] if stays else [])
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     r = random.Random(1)
-    chain = [(i, i + 1) for i in range(30)] + [(100, 101 + i) for i in range(20)] + [(200, 200), (300, 301), (301, 300)]
+    chain = [(i, i + 1) for i in range(1000)] + [(2000, 2001 + i) for i in range(300)] + [(1500, 1500), (3000, 3001), (3001, 3000), (None, 4000), (4001, None)]
+    tree = [(5000 + r.randrange(i), 5000 + i) for i in range(1, 200)]
     r.shuffle(chain)
-    got = {x.id: x.component for x in components(spark.createDataFrame(chain, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 121)}, 300: 300, 301: 300}
+    rounds = []
+    monkeypatch.setattr(components_module, "cut", lambda d: rounds.append(1) or common.cut(d))
+    got = {x.id: x.component for x in components(spark.createDataFrame(chain + tree, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(1001)}, **{i: 2000 for i in range(2000, 2301)}, 3000: 3000, 3001: 3000, **{i: 5000 for i in range(5000, 5200)}}
+    assert len(rounds) < 3 * 14  # tables of rounds that grow with the logarithm of the chain
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
