@@ -10,7 +10,8 @@ class those with the smallest hash: half of them of each, or more where the othe
 many copies it has, and its hash says whether the descent or the curve sees it; the curve weights the classes back to
 their shares of distinct texts. n-grams are hashed to ``1 << bits`` numbers, so the model's size is fixed.
 
-Defined results: null and empty texts have no n-gram and get the score of the bias alone; of several labels of one
+Defined results: null and empty texts have no n-gram and get the score of the bias alone; a text of any length is read to
+its end; input columns may have any names, those kept come back as they are; of texts of equal hash and class one counts; of several labels of one
 document the highest counts; null labels don't count; without labelled rows of both classes each score is the rate of
 class 1 (0.5 without any row); repeated rows are scored alike, each giving its row; an empty table gives an empty result.
 """
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from dagql.llm.common import cut, table
 
 SHAPE_LENGTH = 8
-CACHED_WORDS, CACHED_LENGTH = 200_000, 64
+CACHED_WORDS, CACHED_LENGTH = 50_000, 64
+#: Texts whose n-grams are held at a time.
+TEXTS_AT_ONCE = 256
 
 
 def shape(word: str) -> str:
@@ -146,7 +149,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", bits: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ngrams(t.as_py(), shapes, mask) for t in b.column(2)], pa.list_(pa.int32()))], names=["y", "h", "g"])
+            for p in (b.slice(at, TEXTS_AT_ONCE) for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array([ngrams(t.as_py(), shapes, mask) for t in p.column(2)], pa.list_(pa.int32()))], names=["y", "h", "g"])
 
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     rows = cut(rows.mapInArrow(run, "y int, h long, g array<int>"))
