@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -383,12 +384,39 @@ def test_repeats_agree_with_all_windows(spark, monkeypatch, at_once, sent):
     texts = [None, "", "short", passage, passage, passage + text(5), text(20) + passage, text(3) + passage[:150] + text(9), passage[7:] + other, other + text(50) + other]
     texts += ["ab" * 300, "x" * 500, text(8) + "x" * 400, text(100), text(10) + passage[100:350] + text(10) + passage[20:240], text(4000), "日" * 100, "日" * 99]
     length = 120
-    got = {x.doc_id: x for x in substrings.remove_repeats(docs(spark, texts), length).withColumn("sha", F.sha2("kept", 256)).collect()}
+    got = {x.doc_id: x for x in substrings.remove_repeats(docs(spark, texts), length, passage_words=12).withColumn("sha", F.sha2("kept", 256)).collect()}
     for i, want in enumerate(repeats_by_hand(texts, length)):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].sha) == want, i
+    seen = Counter(tuple(w[k : k + 12]) for w in map(words_of, texts) for k in range(len(w) - 11))
+    hits = 0
+    for i, w in enumerate(map(words_of, texts)):
+        marked = sorted({p for k in range(len(w) - 11) if seen[tuple(w[k : k + 12])] > 1 for p in range(k, k + 12)})
+        assert [p for a, e in zip(got[i].passages[::2], got[i].passages[1::2], strict=True) for p in range(a, e)] == marked, i
+        hits += len(marked)
+    assert hits > 200
     assert substrings.remove_repeats(docs(spark, []), length).count() == 0
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+@pytest.mark.parametrize("unit", [substrings.Bytes(40, 8), substrings.Bytes(41, 8), substrings.Bytes(7, 8), substrings.Words(9, 2)])
+def test_refinement_finds_what_all_strings_tell(unit):
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab \n") for _ in range(r.randrange(0, 300))).encode() for _ in range(40)]
+    texts += [t[r.randrange(20) :] for t in texts[:20]]
+    each = [[t[i : i + 1] for i in range(len(t))] if isinstance(unit, substrings.Bytes) else t.split() for t in texts]
+    seen = Counter(tuple(x[i : i + unit.length]) for x in each for i in range(len(x) - unit.length + 1))
+    want = [(k, i, seen[tuple(x[i : i + unit.length])] > 1) for k, x in enumerate(each) for i in range(len(x) - unit.length + 1)]
+    assert [tuple(x) for x in zip(*(v.tolist() for v in substrings.refine(texts, unit)), strict=True)] == want
+    long = [t for t, x in zip(texts, each, strict=True) if len(x) >= unit.length]
+    span, offset, name = (v.tolist() for v in substrings.identifiers(long, unit))
+    again = Counter(name)
+    assert [again[n] > 1 for n in name] == [w for *_, w in want] and len(again) == len(seen)
+    assert list(zip(span, offset, strict=True)) == [(k, i) for k, x in enumerate(e for e in each if len(e) >= unit.length) for i in range(len(x) - unit.length + 1)]
+
+
 # Mixing
 
 
