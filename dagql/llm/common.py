@@ -55,6 +55,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python workers in batches of at most so many rows from here on (a setting of the session; a smaller one
+    stays): a batch is held several times over, by the JVM and the worker, and texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

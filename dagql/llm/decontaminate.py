@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dagql.llm.common import table
+from dagql.llm.common import table, text_batches
 from dagql.llm.words import WordHasher, shards
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -111,6 +111,7 @@ def _search_shard(texts: list[bytes], tests: TestSuffixes) -> list[tuple[int, np
 
 def find_benchmark(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_words: int = 500_000, shard_bytes: int = 2_000_000, unnamed: bool = False) -> DataFrame:
     """keep, n_words, n_hit, items (sorted array of item ids as strings) and contaminated of each document."""
+    text_batches(docs.sparkSession)
     keep = list(docs.columns if keep is None else keep)
     d = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"), F.lit(0).cast("long").alias("__n"), F.lit(None).cast("binary").alias("__hit"), F.array().cast("array<string>").alias("__items"))
     schema = d.schema

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dagql.llm.common import table
+from dagql.llm.common import table, text_batches
 
 LETTER = regex.compile(r"\p{L}")
 
@@ -54,6 +54,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
 
 def classify(df: DataFrame, model: list[tuple[str, bytes]], text: str = "text", keep: list[str] | None = None, level: int = 6, sharpness: float = 20.0, reject_below: float = 0.01) -> DataFrame:
     """keep, lang_pred, score, margin and rejected of each row."""
+    text_batches(df.sparkSession)
     keep = list(keep or [])
     d = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
     kept = d.drop("__text").schema

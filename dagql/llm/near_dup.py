@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dagql.llm.ann import sorted_groups
-from dagql.llm.common import cut, forget, release, table
+from dagql.llm.common import cut, forget, release, table, text_batches
 from dagql.llm.components import components
 from dagql.llm.words import WordHasher, mix, shards
 
@@ -234,6 +234,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (whether the row's id is its component's) of each row; text_key, a hash of id
     and text, and group_key, a number of the component that holds apart components whose smallest ids are equal."""
+    text_batches(docs.sparkSession)
     least = percent / 100 - SLACK
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("t"))
     rows = cut(texts.mapInArrow(_sketch(words), "id long, key long, n long, set long, regs binary"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagql.llm.common import cut, table
+from dagql.llm.common import cut, table, text_batches
 
 SHAPE_LENGTH = 8
 CACHED_WORDS, CACHED_LENGTH = 50_000, 64
@@ -144,6 +144,7 @@ def sample_of(rows: DataFrame, texts: dict[int, int], sample_rows: int) -> list:
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", bits: int = 18, sample_rows: int = 20_000, cost: float = 1.0) -> Model:
     """A model from rows with a text and a label of 0 or 1."""
+    text_batches(labelled.sparkSession)
     mask = (1 << bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +181,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", bits: int
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """keep and the score of each row's whole text."""
+    text_batches(df.sparkSession)
     keep = list(df.columns if keep is None else keep)
     d = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
     d = d.withColumn("__score", F.lit(0.0))

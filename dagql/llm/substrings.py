@@ -35,11 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dagql.llm.ann import sorted_groups
-from dagql.llm.common import cut, forget, release, table
+from dagql.llm.common import cut, forget, release, table, text_batches
 from dagql.llm.words import WordHasher, mix, shards
 
 #: Buckets of at most so many spans are refined within a task; the windows of larger ones are counted by key.
-SPANS_AT_ONCE = 4096
+SPANS_AT_ONCE = 2048
 #: Side tables of at most so many entries are sent to each executor (under 64 MB); more are joined by a shuffle.
 ENTRIES_SENT = 1_500_000
 _P, _STEP = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
@@ -184,7 +184,7 @@ def _anchors(unit: Bytes | Words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = (b.column(k).to_numpy() for k in ("a", "c"))
-            for first, texts in shards(b.column("t")):
+            for first, texts in shards(b.column("t"), 500_000):
                 text, start, end, gram, span = anchors(texts, unit)
                 row = first + text
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[row], c[row], start * unit.length + (end - start), gram.view(np.int64), span.view(np.int64))], names=["a", "c", "at", "gram", "span"])
@@ -258,16 +258,17 @@ def _identifiers(unit: Bytes | Words):
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins overlapping and touching intervals of each row's array x."""
     for b in batches:
-        out = []
-        for x in b.column("x").to_pylist():
-            merged: list[list[int]] = []
-            for i in sorted((v["from"], v["to"]) for v in x):
-                if merged and i[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], i[1])
-                else:
-                    merged.append(list(i))
-            out.append([v for i in merged for v in i])
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("c"), pa.array(out, pa.list_(pa.int64()))], names=["a", "c", "cover"])
+        for p in (b.slice(at, 512) for at in range(0, b.num_rows, 512)):
+            out = []
+            for x in p.column("x").to_pylist():
+                merged: list[list[int]] = []
+                for i in sorted((v["from"], v["to"]) for v in x):
+                    if merged and i[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], i[1])
+                    else:
+                        merged.append(list(i))
+                out.append([v for i in merged for v in i])
+            yield pa.RecordBatch.from_arrays([p.column("a"), p.column("c"), pa.array(out, pa.list_(pa.int64()))], names=["a", "c", "cover"])
 
 
 def _entries(df: DataFrame, array: str) -> int:
@@ -277,6 +278,7 @@ def _entries(df: DataFrame, array: str) -> int:
 def find_repeats(docs: DataFrame, unit: Bytes | Words, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(a, c, cover): the flat list of borders (from, to) of the runs of items that repeated strings cover, for the texts that have
     any. a and c are the text's ``keys``; rows of equal id and text share them and their cover."""
+    text_batches(docs.sparkSession)
     length = unit.length
     d = docs.select(*keys(doc_id, text), F.col(text).alias("s")).where(F.octet_length("s") >= length)
     t = d.select("a", "c", F.encode("s", "UTF-8").alias("t"))
