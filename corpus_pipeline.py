@@ -9,7 +9,7 @@ documents, and take effect:
    id stays; of rows with one id, one. Texts without words and rows of a null id stay.
 3. ``benchmark``: documents that hold any 10 consecutive words of a benchmark item (or a whole shorter one) go.
 4. ``mix``: sources get the weights of a temperature; every document stays, and those of sources that fall short come
-   as repeated rows, at most ``MOST_REPEATS`` times.
+   as repeated rows, at most ``MOST_REPEATS`` times. Rows are written in the order of the mix.
 5. ``shards``: doc_id, source, size, text_crc32, shard and slot; equal texts share a shard of 16, shards are of near
    equal bytes.
 
@@ -43,8 +43,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix.mix_sources(docs, ENTROPY, MOST_REPEATS)
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__mix.copies"))).select(*docs.columns)
+    copies = mix.realise(mix.mix_sources(docs, ENTROPY, MOST_REPEATS))
+    return copies.orderBy("place", "mix.src", "row_key").select(*docs.columns)
 
 
 def shards_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

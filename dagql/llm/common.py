@@ -69,6 +69,28 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows that one task numbers, about; and parts that there are at least.
+ROWS_NUMBERED, LEAST_PARTS = 100_000, 64
+
+
+def number_in_order(df: DataFrame, place: str, order: list[str], out: str, keys: list[str] = ()) -> DataFrame:
+    """df, read from a table, with gapless numbers from 0 within keys by the order columns, without one task holding a whole key.
+
+    place: a double from 0 to 1 that rises with the order and is evenly spread. It is cut into as many parts as the
+    rows need; a number is the rank within the part plus the sizes of the parts before it, of which one row for each
+    key and part is gathered. Equal rows get different numbers, in any order."""
+    parts = max(LEAST_PARTS, -(-df.count() // ROWS_NUMBERED))
+    d = df.withColumn("__part", F.least(F.floor(F.col(place) * parts), F.lit(parts - 1)).cast("int"))
+    sizes = d.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = cut(sizes.select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before")))
+    d = d.withColumn("__rank", F.row_number().over(W.partitionBy(*keys, "__part").orderBy(*order)))
+    on = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"__s{i}"))
+    return d.join(sizes, on).withColumn(out, (F.col("__rank") - 1 + F.col("__before")).cast("long")).select(*df.columns, out)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, parts: int = 64) -> DataFrame:
     """Gapless numbers from 0 within keys, without one task holding a whole key.
 

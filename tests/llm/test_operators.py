@@ -18,12 +18,14 @@ from dagql.llm.components import components
 from dagql.llm.url_filter import UrlRule
 
 DOCS = "doc_id long, text string, source string"
+#: Names that the operators use themselves.
+CLASHING = "id n t h s size shard slot score kept a c rank key regs spans src weight block tokens copies copy place span epochs rest mix row_key label lang g y u v component bucket band items cover gram at host path rule verdict end size cover matches position".split()
 
 
 def docs(spark, texts, sources=None):
     """With columns whose names the operators use themselves."""
     rows = [(i, t, (sources or {}).get(i, "s")) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(0) for c in ("id", "n", "t", "h", "size", "shard", "slot", "score", "kept", "a", "c", "rank", "key", "regs", "spans")})
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(0) for c in CLASHING})
 
 
 def words(r, n, vocabulary=200):
@@ -432,14 +434,17 @@ def test_exponent_meets_entropy_and_repeats():
     assert 1.09e6 * 1e4 ** (b - 1) / (1e6**b + 9 * 1e4**b) == pytest.approx(3.0, rel=1e-6)
 
 
-def test_mix_realises_weights(spark):
+def test_mix_realises_weights(spark, monkeypatch):
+    monkeypatch.setattr(mix, "BLOCK_ROWS", 100)
     r = random.Random(4)
     texts = [words(r, r.randrange(1, 30)) for _ in range(900)] + [None, "", "  "]
     sources = {i: "hot" if i < 600 else f"s{i % 5}" for i in range(len(texts))} | {700: None, 701: None}
     d = docs(spark, texts, sources)
     total = sum(len((t or "").split()) + 1 for t in texts)
     for budget in (None, total):
-        m = mix.mix_sources(d, 0.95, 3.0, budget).select("doc_id", "source", "__mix.*").toPandas()
+        mixed = mix.mix_sources(d, 0.95, 3.0, budget)
+        assert mixed.drop("__mix").exceptAll(d).isEmpty() and mixed.columns == [*d.columns, "__mix"]
+        m = mixed.select("doc_id", "source", "__mix.*").toPandas()
         assert len(m) == len(texts) and (m.tokens == [len((texts[i] or "").split()) + 1 for i in m.doc_id]).all()
         w = m.groupby(m.source.fillna("?")).agg(w=("weight", "first"), t=("tokens", "sum"))
         got = (m.tokens * m.copies).groupby(m.source.fillna("?")).sum()
@@ -448,6 +453,12 @@ def test_mix_realises_weights(spark):
         assert ((got <= w.w * whole + 1e-6) & (got >= w.w * whole - 40)).all()
         assert m.copies.max() <= 3 and (budget is not None or m.copies.min() >= 1)
         assert (m.groupby(m.source.fillna("?")).copies.agg(lambda c: c.max() - c.min()) <= 1).all()
+        copies = mix.realise(mixed.select("doc_id", "source", "text", "key", "__mix")).toPandas().sort_values(["place", "row_key"])
+        assert Counter(copies.doc_id) == dict(zip(m.doc_id[m.copies > 0], m.copies[m.copies > 0], strict=True)) and copies.place.between(0, 1).all() and (copies.key == 0).all()
+        hot = (copies.source == "hot").to_numpy()  # each stretch of the mix holds about the same share
+        assert all(abs(part.mean() - hot.mean()) < 0.15 for part in np.array_split(hot, 5))
+        for _, c in copies[copies.source == "hot"].groupby("copy"):  # an epoch takes rows once, its blocks one after another
+            assert c.doc_id.is_unique and (c["mix"].map(lambda x: x["block"]).diff() != 0).sum() == c["mix"].map(lambda x: x["block"]).nunique()
     assert mix.mix_sources(docs(spark, []), budget=5).count() == 0
 
 
