@@ -89,24 +89,3 @@ def number_in_order(df: DataFrame, place: str, order: list[str], out: str, keys:
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"__s{i}"))
     return d.join(sizes, on).withColumn(out, (F.col("__rank") - 1 + F.col("__before")).cast("long")).select(*df.columns, out)
-
-
-def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, parts: int = 64) -> DataFrame:
-    """Gapless numbers from 0 within keys, without one task holding a whole key.
-
-    Rows of a key are dealt by the hash of the order columns over ``parts`` parts (a fixed parameter: each key has
-    that many tasks); numbers are the rank within the part plus the sizes of the parts before it. What is gathered
-    for the offsets is one row for each key and part. Equal rows get different numbers, in any order.
-    """
-    part = F.pmod(F.xxhash64(*order), F.lit(parts)).alias("__part")
-    d = df.select("*", part)
-    sizes = d.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
-    sizes = sizes.select(*keys, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    d = d.withColumn("__rank", F.row_number().over(W.partitionBy(*keys, "__part").orderBy(*order)))
-    on = [d[k].eqNullSafe(sizes[k]) for k in [*keys, "__part"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = d.join(sizes, cond, "inner")
-    return joined.select(*[d[c] for c in df.columns], (d["__rank"] - 1 + sizes["__before"]).cast("long").alias(out))

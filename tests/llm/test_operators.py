@@ -430,6 +430,7 @@ def test_exponent_meets_entropy_and_repeats():
     assert -(w * np.log(w)).sum() / np.log(10) == pytest.approx(0.9, abs=1e-6)
     assert mix.exponent(classes, 0.9, 2.0, None) == pytest.approx(1 - np.log(2) / np.log(100), abs=1e-6)
     assert mix.exponent([(5, 7.0)], 0.9, 2.0, None) == 1.0 and mix.exponent([(1, 7.0)], 0.9, 2.0, None) == 1.0
+    assert all(p % k for p in mix.FACTORS for k in range(2, 46_341))
     b = mix.exponent(classes, 1.0, 3.0, 1.09e6)
     assert 1.09e6 * 1e4 ** (b - 1) / (1e6**b + 9 * 1e4**b) == pytest.approx(3.0, rel=1e-6)
 
