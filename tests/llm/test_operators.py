@@ -480,8 +480,25 @@ def hits_by_hand(text, items, window):
     return len(w), len(hit), sorted(found)
 
 
+def longest_by_hand(text, items, window):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, out = word(text), []
+    for name, t in items:
+        x = word(t)
+        for i in range(len(w)):
+            for j in range(len(x)):
+                if (i and j and w[i - 1] == x[j - 1]) or w[i] != x[j]:
+                    continue
+                n = 0
+                while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                    n += 1
+                if n >= min(window, len(x)):
+                    out.append((str(name), j, i, n))
+    return sorted(out)
+
+
 @pytest.mark.parametrize(("block", "size"), [(500_000, 2_000_000), (30, 400)])
-def test_decontamination_agrees_with_all_windows(spark, block, size):
+def test_decontamination_agrees_with_all_windows(spark, monkeypatch, block, size):
     r = random.Random(8)
     items = [(i, words(r, n, 30)) for i, n in enumerate([0, 1, 3, 6, 20, 40, 40])] + [(7, None), (8, "É tu"), (9, "--"), (5, words(r, 9, 30)), (None, "w1")]
     items[1] = (1, "rare")
@@ -493,6 +510,10 @@ def test_decontamination_agrees_with_all_windows(spark, block, size):
     for x in got:
         assert (x.n_words, x.n_hit, x["items"]) == hits_by_hand(texts[x.doc_id], known, 6), x.doc_id
         assert x.contaminated == (x.n_hit > 0)
+        assert sorted(tuple(m) for m in x.matches) == longest_by_hand(texts[x.doc_id], known, 6), x.doc_id
+    monkeypatch.setattr(decontaminate, "CHAIN", 1)
+    again = decontaminate.find_benchmark(docs(spark, texts), b, 6, keep=["doc_id"], block_words=block, shard_bytes=size).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
     assert len(got) == len(texts) and sum(x.contaminated for x in got) > 5
     assert not any(x.contaminated for x in decontaminate.find_benchmark(docs(spark, texts), b.limit(0), 6).collect())
 
