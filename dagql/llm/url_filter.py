@@ -2,8 +2,8 @@
 
 A rule is a pattern over host + path. A rule's pattern is split into literal tokens; of those that any matching
 URL must hold as a whole token, the one that fewest rules hold is the rule's index entry. A URL's own tokens fetch
-the candidate rules, and only those run their regular expressions; of the rules that match, the longest wins
-(ties: the smaller text). Rules without such a token are tried on every URL.
+the candidate rules, and only those run their regular expressions; of the rules that match, those of the lowest tier come
+first, and of them the longest wins (ties: the smaller text). Rules without such a token are tried on every URL.
 
 Defined results: a null URL and one without ``://`` have empty host and path; no rule matches an empty host; equal
 rows are judged alike, each giving its own row; an empty table gives an empty result; columns of the input other
@@ -26,6 +26,8 @@ from dagql.llm.common import ascii_lower
 TOKEN = re.compile(r"[A-Za-z0-9]+")
 #: Rules are shipped to the executors in blocks of at most so many; each block is one pass without a shuffle.
 RULES_PER_BLOCK = 50_000
+#: The last tier that there can be; a rule's rank is its length, and over a million more for each tier that comes after its own.
+LOWEST = 1000
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,7 @@ class UrlRule:
     name: str
     action: str
     pattern: str
+    tier: int = 0
 
     @staticmethod
     def domain(name: str, action: str) -> UrlRule:
@@ -76,7 +79,7 @@ class RuleIndex:
         self.by_token: dict[str, list] = {}
         self.always: list = []
         for r in rules:
-            entry = (re.compile(r.regex()), len(r.pattern.lstrip("|")), r.name, r.action)
+            entry = (re.compile(r.regex()), (LOWEST - r.tier << 20) + len(r.pattern.lstrip("|")), r.name, r.action)
             tokens = sorted(r.tokens(), key=lambda t: (held[t], -len(t), t))
             (self.by_token.setdefault(tokens[0], []) if tokens else self.always).append(entry)
 
@@ -92,7 +95,7 @@ class RuleIndex:
 
 
 def filter_urls(df: DataFrame, rules: list[UrlRule], url: str = "url", keep: list[str] | None = None, otherwise: str = "allow") -> DataFrame:
-    """keep, host, path, rule and verdict of each row; ``otherwise`` is the verdict where no rule matches."""
+    """keep, host, path, rule, verdict and tier (the rule's) of each row; ``otherwise`` is the verdict where no rule matches."""
     keep = list(keep or [])
     before = F.char_length(F.substring_index(F.col(url), "://", 1))  # of what stands before the first ://
     after = F.when(F.instr(F.col(url), "://") > 0, F.substr(F.col(url), before + 4)).otherwise(F.lit(""))
@@ -103,7 +106,7 @@ def filter_urls(df: DataFrame, rules: list[UrlRule], url: str = "url", keep: lis
     d = d.select(*[f"__k{i}" for i in range(len(keep))], ascii_lower(F.col("__raw")).alias("__host"), "__path", F.lit(0).alias("__n"), F.lit(None).cast("string").alias("__rule"), F.lit(None).cast("string").alias("__verdict"))
     for i in range(0, len(rules), RULES_PER_BLOCK):
         d = d.mapInArrow(_judge(RuleIndex(rules[i : i + RULES_PER_BLOCK])), d.schema)
-    return d.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit(otherwise)).alias("verdict"))
+    return d.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit(otherwise)).alias("verdict"), F.when(F.col("__rule").isNotNull(), LOWEST - F.shiftright("__n", 20)).alias("tier"))
 
 
 def _judge(index: RuleIndex):
@@ -124,12 +127,44 @@ def _judge(index: RuleIndex):
 DOMAIN_RULES = [UrlRule.domain("net/", "block"), UrlRule.domain("example.net/en/", "allow"), UrlRule.domain("example.com/de/", "block"), UrlRule.domain("org/fr/", "allow")]
 
 
+#: The method's own rules, for URLs that none of those fits: pages that give a corpus no prose of their own. Longer
+#: ones are exceptions from shorter ones.
+PATTERN_RULES = [
+    UrlRule(p, action, p, 1)
+    for action, patterns in {
+        "block": [
+            # advertising and counting hosts and paths
+            "||ad.", "||ads.", "||adserver.", "||banner.", "||click.", "||counter.", "||pixel.", "||stats.", "||track.", "||tracking.",
+            "/ads/", "/adframe", "/banners/", "/popup", "/sponsored/", "^affiliate^",
+            # copies for small screens, print and syndication
+            "||m.", "||mobile.", "||wap.", "/amp|", "/print|", "/print/", "/feed|", "/feed/|", "/rss|", ".rss|", ".xml|",
+            # accounts, shops and search results
+            "||login.", "||accounts.", "/login", "/signin", "/signup", "/register|", "/logout", "/cart|", "/cart/", "/checkout", "/basket/", "/search|", "/search/", "/wp-admin/", "/wp-login.php", "/cgi-bin/",
+            # files that are no pages
+            ".exe|", ".zip|", ".gz|", ".rar|", ".iso|", ".apk|", ".mp3|", ".mp4|", ".avi|", ".jpg|", ".png|", ".gif|", ".css|", ".js|",
+            # adult and gambling
+            "||porn", "||xxx.", "^casino^", "^porn^", "^escort^", "^poker^",
+        ],
+        "allow": ["||m.*.example.org/en/", "||ads.*/policy", "/search/help", "/login/help", "/ads/policy", "/signup/terms"],
+    }.items()
+    for p in patterns
+]
+
+
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page; where no rule fits, the verdict is allow."""
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), DOMAIN_RULES, "url", ["page_id"])
+    """page_id, host, path, rule (of the contract's) and verdict of every page; pattern: the rule of the method that gave the
+    verdict where none of the contract's fits. Where none fits at all, the verdict is allow."""
+    d = filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), DOMAIN_RULES + PATTERN_RULES, "url", ["page_id"])
+    return d.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict", F.when(F.col("tier") == 1, F.col("rule")).alias("pattern"))
+
+
+def _sql_pattern() -> str:
+    order = sorted(PATTERN_RULES, key=lambda r: (-len(r.pattern.lstrip("|")), r.name))
+    return "\n".join(f"  WHEN regexp_matches(host || path, '{r.regex().replace(chr(92) + 'Z', chr(92) + 'z')}') THEN '{r.name}'" for r in order)
 
 
-SQL = r"""
+_ALLOWED = ", ".join(f"'{r.name}'" for r in PATTERN_RULES if r.action == "allow")
+SQL = rf"""
 WITH a AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS r FROM pages),
 h AS (SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS raw FROM a),
 p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -138,6 +173,8 @@ j AS (SELECT page_id, host, path, CASE
   WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM j
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule, CASE WHEN host = '' THEN NULL
+{_sql_pattern()} END AS fits FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL OR fits IS NULL OR fits IN ({_ALLOWED}) THEN 'allow' ELSE 'block' END AS verdict,
+  CASE WHEN rule IS NULL THEN fits END AS pattern FROM j
 """

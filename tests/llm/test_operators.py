@@ -48,18 +48,18 @@ def words(r, n, vocabulary=200):
 )
 def test_url_cases(spark, url, want):
     d = spark.createDataFrame([(1, url, 5), (1, url, 5)], "page_id long, url string, host int")
-    assert [tuple(r)[1:] for r in url_filter.filter_urls(d, url_filter.DOMAIN_RULES, "url", ["page_id"]).collect()] == [want] * 2
+    assert [tuple(r)[1:5] for r in url_filter.filter_urls(d, url_filter.DOMAIN_RULES, "url", ["page_id"]).collect()] == [want] * 2
 
 
 def test_url_rules_fetched_by_tokens_agree_with_all_rules(spark):
     r = random.Random(3)
     parts = ["ads", "track", "en", "shop", "img", "x1"]
-    rules = [UrlRule(f"r{i}", r.choice(["block", "allow"]), r.choice(["||", "|", ""]) + r.choice(parts) + r.choice([".", "/", "^", "*", "-"]) + r.choice(parts) + r.choice(["", "/", "^", "|", "*"])) for i in range(150)]
+    rules = [UrlRule(f"r{i}", r.choice(["block", "allow"]), r.choice(["||", "|", ""]) + r.choice(parts) + r.choice([".", "/", "^", "*", "-"]) + r.choice(parts) + r.choice(["", "/", "^", "|", "*"]), r.randrange(2)) for i in range(150)]
     urls = ["".join(r.choice([*parts, ".", "/", "-", "ads.", "/en/"]) for _ in range(8)) for _ in range(500)]
     index = url_filter.RuleIndex(rules)
     hits = 0
     for u in urls:
-        all_hits = [(len(x.pattern.lstrip("|")), x.name, x.action) for x in rules if re.search(x.regex(), u)]
+        all_hits = [((url_filter.LOWEST - x.tier << 20) + len(x.pattern.lstrip("|")), x.name, x.action) for x in rules if re.search(x.regex(), u)]
         want = min(all_hits, key=lambda h: (-h[0], h[1])) if all_hits else None
         assert index.best(u) == want
         hits += want is not None
@@ -73,6 +73,17 @@ def test_url_rules_fetched_by_tokens_agree_with_all_rules(spark):
         url_filter.RULES_PER_BLOCK = old
 
 
+@pytest.mark.parametrize(("url", "rule", "verdict"), [
+    ("http://m.a.com/x", "||m.", "block"), ("http://m.x.example.org/en/1", "||m.*.example.org/en/", "allow"), ("http://M.a.net/x", "net/", "block"), ("http://org/fr/ads/", "org/fr/", "allow"),
+    ("http://a.com/ads/policy", "/ads/policy", "allow"), ("http://a.com/my/ads/x", "/ads/", "block"), ("http://a.com/feed", "/feed|", "block"), ("http://a.com/feed/x", None, "allow"), ("http://a.com/x.zip?y", ".zip|", "block"),
+    ("http://a.com/online/casino/", "^casino^", "block"), ("http://adm.com/", None, "allow"), ("http://am.com", None, "allow"),
+])
+def test_pattern_rules_decide_where_the_contract_does_not(spark, url, rule, verdict):
+    d = spark.createDataFrame([(1, url)], "page_id long, url string")
+    r = url_filter.filter_urls(d, url_filter.DOMAIN_RULES + url_filter.PATTERN_RULES, "url", ["page_id"]).first()
+    assert (r.rule, r.verdict, r.tier) == (rule, verdict, None if rule is None else 0 if rule in ("net/", "org/fr/") else 1)
+
+
 # Nearest neighbours
 
 
