@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product, with a forest of hash prefixes.
 
 The rows are dealt over shards of at most about ``SHARD`` vectors. A shard keeps ``TREES`` sorted arrays of long hash
-strings (signs of random projections). A query descends in every tree to its longest matching prefix; then all trees
-ascend together, one bit at a time, until the ranges under the prefix hold ``BUDGET`` entries in all. What lies in the
-ranges is scored exactly, in double precision. Queries come in blocks, each block to each shard; the best of the
+strings (signs of ``BITS`` random projections). A query descends in every tree to its longest matching prefix, whose length
+varies with how densely the vectors lie there; then all trees ascend together, one bit at a time, until the ranges under
+the prefix hold ``BUDGET`` entries in all. What lies in the ranges is scored exactly, in double precision. In clusters the
+trees find the same entries, so that few are scored; among random directions they differ. Queries come in blocks, each block to each shard; the best of the
 shards are merged.
 
 Inner products are turned into angles first: vectors get one more component, so that all are as long as the longest
@@ -15,7 +16,8 @@ Equal vectors are one entry with its smallest ids, as many as a result may need,
 rows share costs no more than another, and every result is as if each row had been searched.
 
 Defined results: vectors that are null, empty or zero, that hold null or non-finite components, or whose length isn't
-the most frequent one (ties: the longer) take no part, nor do rows of a null id; rows of one id and vector count once, and a
+the most frequent one (ties: the longer) take no part, nor do rows of a null id; input columns other than id and vector don't
+matter, whatever their names; rows of one id and vector count once, and a
 query's own rows are all those of its id; ties go to the smaller id; with fewer candidates than k, all are given; an
 empty table gives an empty result.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from dagql.llm.common import cut, table
 
-SHARD, QUERIES, TREES, BITS, BUDGET, SEED = 8192, 8192, 128, 16, 4000, 11
+SHARD, QUERIES, TREES, BITS, BUDGET, SEED = 8192, 8192, 128, 64, 3000, 11
 SPREAD = 1.02
 
 
@@ -50,26 +52,36 @@ class Forest:
         self.sorted = np.take_along_axis(strings.T, self.order, 1)
 
     def _strings(self, lifted: np.ndarray) -> np.ndarray:
-        weights = 1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64)
-        return np.concatenate([((part.astype(np.float32) @ self.planes) > 0).reshape(-1, self.trees, self.bits) @ weights for part in np.array_split(lifted, len(lifted) // 1024 + 1)])
+        """A number of ``bits`` bits, the first the highest, for each row and tree."""
+        out = np.empty((len(lifted), self.trees), np.uint64)
+        for a in range(0, len(lifted), 256):
+            signs = (lifted[a : a + 256].astype(np.float32) @ self.planes > 0).reshape(-1, self.trees, self.bits)
+            signs = np.concatenate([np.zeros((*signs.shape[:2], 64 - self.bits), bool), signs], 2)
+            out[a : a + 256] = np.packbits(signs, axis=2).view(">u8")[:, :, 0]
+        return out
 
     def candidates(self, queries: np.ndarray, budget: int) -> Iterator[np.ndarray]:
         """Entry numbers for each query."""
         strings = self._strings(np.hstack([queries, np.zeros((len(queries), 1))]))
-        shape = (self.bits + 1, len(queries), self.trees)
-        first, last = np.empty(shape, np.int32), np.empty(shape, np.int32)
-        for t in range(self.trees):
-            for kept in range(self.bits + 1):
-                rest = self.bits - kept
-                prefix = strings[:, t] >> rest << rest
-                first[kept, :, t] = np.searchsorted(self.sorted[t], prefix)
-                last[kept, :, t] = np.searchsorted(self.sorted[t], prefix + (1 << rest))
-        held = (last - first).sum(2)
-        level = np.maximum((held >= budget).sum(0) - 1, 0)  # the longest prefix that reaches the budget; else all
-        for q, kept in enumerate(level):
-            mark = np.zeros(len(self.vectors), bool)
+        n, shape = len(self.vectors), (len(queries), self.trees)
+        first, last = np.zeros(shape, np.int32), np.full(shape, n, np.int32)
+        lo, hi = np.empty(shape, np.int32), np.empty(shape, np.int32)
+        # the longest prefix with enough entries, where the trees' common ascent ends: entries only grow on the way up
+        least, most = np.zeros(len(queries), np.int64), np.full(len(queries), self.bits + 1)
+        while (most - least > 1).any():
+            kept = (least + most) // 2
+            below = (np.uint64(1) << (self.bits - kept).astype(np.uint64)) - np.uint64(1)
             for t in range(self.trees):
-                mark[self.order[t, first[kept, q, t] : last[kept, q, t]]] = True
+                prefix = strings[:, t] & ~below
+                lo[:, t] = np.searchsorted(self.sorted[t], prefix)
+                hi[:, t] = np.searchsorted(self.sorted[t], prefix | below, "right")
+            enough = ((hi - lo).sum(1) >= budget) & (kept > least)
+            first[enough], last[enough] = lo[enough], hi[enough]
+            least, most = np.where(enough, kept, least), np.where(enough, most, np.maximum(kept, least + 1))
+        for q in range(len(queries)):  # without enough under any prefix, all
+            mark = np.zeros(n, bool)
+            for t in range(self.trees):
+                mark[self.order[t, first[q, t] : last[q, t]]] = True
             yield np.flatnonzero(mark)
 
     def nearest(self, queries: np.ndarray, ids: np.ndarray, k: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -116,6 +116,34 @@ def test_forest_recall():
     assert np.mean([len(set(f[0]) & set(b)) / 20 for f, b in zip(found, best, strict=True)]) >= 0.9
 
 
+def test_clusters_need_few_candidates():
+    r = np.random.default_rng(2)
+    x = np.repeat(r.standard_normal((200, 32)), 40, 0) + 0.1 * r.standard_normal((8000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest, q = ann.Forest(x), x[::200]
+    scored = list(forest.candidates(q, ann.BUDGET))
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(c) & set(b)) / 20 for c, b in zip(scored, best, strict=True)]) >= 0.95
+    assert np.mean([len(c) for c in scored]) < 0.05 * len(x)
+    deep = forest._strings(np.hstack([x[:80], np.zeros((80, 1))]))
+    assert deep.dtype == np.uint64 and len(np.unique(deep[:, 0])) > 40  # long strings tell apart what lies in a cluster
+
+
+def test_recall_over_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 1000)
+    monkeypatch.setattr(ann, "QUERIES", 60)
+    r = np.random.default_rng(6)
+    x = np.repeat(r.standard_normal((100, 24)), 40, 0) + 0.4 * r.standard_normal((4000, 24))
+    d = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, gid int")
+    got = ann.search(d, F.col("vec_id") % 20 == 0, 20, budget=400).toPandas()
+    q = np.arange(0, 4000, 20)
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    recall = [len(set(got.vec_id[got.query_id == i]) & set(b)) / 20 for i, b in zip(q, best, strict=True)]
+    assert len(got) == 20 * len(q) and np.mean(recall) >= 0.9
+
+
 @pytest.mark.parametrize("sigma", [0.0, 0.02, 0.3, 0.5])
 def test_recall_with_spread_lengths(sigma):
     r = np.random.default_rng(3)
