@@ -367,3 +367,22 @@ def op7_substrings(spark, sf_dir: str) -> DataFrame:
     borders = F.col("passages")
     words = F.aggregate(F.transform(borders, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), words.alias("n_passage_words"), (F.size(borders) / 2).cast("long").alias("n_passages"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, s, md5(array_slice(t, s + 1, s + 400)) AS m FROM (SELECT doc_id, t, unnest(range(0, octet_length(t) - 399)) AS s FROM d WHERE octet_length(t) >= 400)),
+h AS (SELECT doc_id, s FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+n AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM h),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS e FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM n) GROUP BY doc_id, run),
+x AS (SELECT doc_id, list(a ORDER BY a) || [NULL] AS a, [0] || list(e ORDER BY a) AS e, sum(e - a) AS n, count(*) AS c FROM r GROUP BY doc_id),
+pk AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 50], ' ') AS m FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM d WHERE len(w) >= 50)),
+ph AS (SELECT doc_id, s FROM pk WHERE m IN (SELECT m FROM pk GROUP BY m HAVING count(*) > 1)),
+pn AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM ph),
+pr AS (SELECT doc_id, max(s) + 50 - min(s) AS n FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM pn) GROUP BY doc_id, run),
+p AS (SELECT doc_id, sum(n) AS n, count(*) AS c FROM pr GROUP BY doc_id)
+SELECT d.doc_id, octet_length(t) AS n_bytes, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed, coalesce(x.c, 0) AS n_spans,
+  CASE WHEN x.n IS NULL THEN sha256(t) ELSE sha256(unhex(array_to_string(list_transform(range(1, len(a) + 1), lambda i: hex(array_slice(t, e[i] + 1, coalesce(a[i], octet_length(t))))), ''))) END AS kept_sha256,
+  CAST(coalesce(p.n, 0) AS BIGINT) AS n_passage_words, coalesce(p.c, 0) AS n_passages
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id
+"""
