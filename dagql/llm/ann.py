@@ -102,6 +102,11 @@ def best_of(at: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple
     return at[best], score[best]
 
 
+def exactly(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last, so that they don't depend on how rows are batched."""
+    return np.cumsum(vectors.astype(np.float64) * query, axis=1)[:, -1]
+
+
 def bands(vectors: np.ndarray, spread: float = SPREAD) -> Iterator[np.ndarray]:
     """Entry numbers of each band of lengths, the longest vectors first; within one, lengths differ by at most the factor."""
     most = np.abs(vectors).max(1)
@@ -167,9 +172,10 @@ def _search(k: int, budget: int):
             x = np.asarray(flat.flatten(), dtype=np.float64).reshape(len(asks), -1)
             if not asks.any() or asks.all():
                 continue
-            own, q = ~asks, np.flatnonzero(asks)
+            own, q = np.flatnonzero(~asks), np.flatnonzero(asks)
             entries, ids = gid[own], least[own]
-            found = list(Bands(x[own], budget).nearest(x[q], ids, k))
+            mine = x[own]
+            found = [(at, exactly(mine[at], v)) for (at, _), v in zip(Bands(mine, budget).nearest(x[q], ids, k), x[q], strict=True)]
             at, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             asked = np.repeat(gid[q], [len(f[0]) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(entries[at]), pa.array(score)], names=["asked", "gid", "score"])
@@ -215,3 +221,14 @@ def search(df: DataFrame, asks: Column, k: int = 20, vec_id: str = "vec_id", vec
 def op2_ann(spark, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every vector whose id is divisible by 20."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+#: All pairs of queries and rows: what the search gives where a shard's vectors are no more than the budget.
+SQL = """
+WITH v AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(c.embedding[i] AS DOUBLE)), lambda x, y: x + y) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 20
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op4_secrets": secrets.SQL, "op5_near_dup": near_dup.SQL, "op7_substrings": substrings.SQL, "op8_mix": mix.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op2_ann": ann.SQL, "op4_secrets": secrets.SQL, "op5_near_dup": near_dup.SQL, "op7_substrings": substrings.SQL, "op8_mix": mix.SQL, "op9_decontaminate": decontaminate.SQL}
