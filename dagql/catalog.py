@@ -9,9 +9,11 @@ from dagql.functions.counters import observed
 from dagql.operators import connectors, index
 from dagql.operators import relational as R
 from dagql.plans import script
+from dagql.plans import properties
 from dagql.plans.jobspec import JobSpec
 from dagql.sources import files, pull, sinks
 from dagql.streaming import windows
+from dagql.tables import new_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -83,6 +85,94 @@ def pull_reader(spark, d):
     return pull.read_with(spark, Squares, "split long, i long, square long", range(4))
 
 
+ORDER_FIELDS = script.types.schema([("o_orderkey", "long"), ("o_custkey", "long"), ("o_orderstatus", "chararray"), ("o_totalprice", "double")])
+
+
+def _orders(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 10 == 0, "").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice")
+
+
+ORDERS_SQL = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders"
+
+
+@query(ORDERS_SQL)
+def delimited_load(spark, d):
+    """Lines with a delimiter at their end, in two parts; empty text fields stay empty."""
+    one, two = new_path(spark, "tbl"), new_path(spark, "tbl")
+    for path, rest in ((one, 0), (two, 1)):
+        sinks.write_delimited(_orders(spark, d).where(F.col("o_orderkey") % 2 == rest).withColumn("end", F.lit("")), path, sep="|")
+    return files.read_delimited(spark, [one, two], ORDER_FIELDS)
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def fixed_width_load(spark, d):
+    """A parser of another kind."""
+    path = new_path(spark, "txt")
+    t(spark, d, "supplier").select(F.concat(F.rpad(F.col("s_suppkey").cast("string"), 12, " "), F.col("s_name"))).write.text(path)
+    return files.load(spark, path, script.types.schema([("s_suppkey", "long"), ("s_name", "chararray")]), parser=files.FixedWidth((12, 40)))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 200000")
+def delimited_write(spark, d):
+    """Chosen fields in another order, written and read back."""
+    path = new_path(spark, "csv")
+    sinks.write_delimited(t(spark, d, "orders").where("o_totalprice > 200000"), path, [1, 0], ";")
+    return files.read_delimited(spark, [path], script.types.schema([("o_custkey", "long"), ("o_orderkey", "long")]), ";")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def script_dump(spark, d):
+    """A script's dump to two splits, read back by another script."""
+    out = f"{new_path(spark, 'out')},{new_path(spark, 'out')}"
+    script.run(spark, f'N = load "{d}/nation.parquet" as (n_nationkey: int, n_name: chararray, n_regionkey: int); S = filter N by n_regionkey == 1; dump S into "{out}";').write()
+    return script.run(spark, f'R = load "{out}" as (n_nationkey: int, n_name: chararray, n_regionkey: int);').relations["R"].drop("n_regionkey")
+
+
+class LineWriter(sinks.TupleWriter):
+    def __init__(self, folder: str):
+        self.folder = folder.removeprefix("file:")
+
+    def open(self, partition):
+        import os
+
+        os.makedirs(self.folder, exist_ok=True)
+        self.file = open(f"{self.folder}/part-{partition}.txt", "w")  # noqa: SIM115
+
+    def write(self, row):
+        self.file.write(f"{row[0]}:{row[1]}\n")
+
+    def close(self):
+        self.file.close()
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def user_writer(spark, d):
+    """A writer of the user's for each partition; here to files of the shared folder."""
+    path = new_path(spark, "lines")
+    sinks.write_with(t(spark, d, "region").select("r_regionkey", "r_name"), lambda: LineWriter(path))
+    return files.read_delimited(spark, [path], script.types.schema([("r_regionkey", "int"), ("r_name", "chararray")]), ":")
+
+
+@query("SELECT '<' || n_nationkey || '>' || chr(9) || upper(n_name) AS line FROM nation")
+def print_per_field(spark, d):
+    """A printer of its own for each field."""
+    return sinks.print_with(t(spark, d, "nation").select("n_nationkey", "n_name"), [lambda c: F.concat(F.lit("<"), c.cast("string"), F.lit(">")), F.upper], "\t")
+
+
+@query("SELECT r_regionkey || '=' || r_name AS value FROM region")
+def result_own_serializer(spark, d):
+    return sinks.serialize(t(spark, d, "region"), serializer=lambda row: F.concat_ws("=", *row))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[\\r\\n]', ' ', 'g'), ' ')) AS word FROM benchmark) WHERE word <> '' GROUP BY word")
+def properties_job(spark, d):
+    """A job named by its properties, from text lines to delimited lines."""
+    lines, out = new_path(spark, "txt"), new_path(spark, "out")
+    t(spark, d, "benchmark").select(F.regexp_replace("text", "[\r\n]", " ")).write.text(lines)
+    properties.run(spark, f"job = word_count\ninput.paths = {lines}\noutput.path = {out}\nfield.separator = |\n")
+    return files.read_delimited(spark, [out], script.types.schema([("word", "chararray"), ("n", "long")]))
+
+
 # Scripts.
 
 
@@ -312,6 +402,17 @@ def cube(spark, d):
     return t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(rows().alias("n"))
 
 
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup(spark, d):
+    return t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(rows().alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+def grouping_sets(spark, d):
+    keys = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    return R.grouping_sets(t(spark, d, "lineitem").select(*keys), [keys[:2], keys[2:], []], keys, n=rows())
+
+
 @query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")
 def distinct_agg(spark, d):
     return R.group(t(spark, d, "lineitem"), ["l_returnflag"], parts=F.count_distinct("l_partkey"))
@@ -334,8 +435,8 @@ def split_outputs(spark, d):
 @query("WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT x.n, count(*) AS pairs FROM a x JOIN a y ON x.n = y.n GROUP BY x.n")
 def materialize_reuse(spark, d):
     a = R.group(t(spark, d, "orders"), ["o_custkey"], n=rows())
-    x, y = R.replicate(a.select("n"), 2)
-    return R.group(R.equi_join(x.alias("x"), y.withColumnRenamed("n", "m"), [("n", "m")]), ["n"], pairs=rows())
+    x, y = R.replicate(R.group(a, ["n"], same=rows()), 2)  # pairs are counted by products, not made
+    return R.equi_join(x, y.select(F.col("n").alias("m"), F.col("same").alias("as_many")), [("n", "m")]).select("n", (F.col("same") * F.col("as_many")).alias("pairs"))
 
 
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
@@ -348,6 +449,21 @@ def intersect(spark, d):
     return t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(t(spark, d, "supplier").select("s_nationkey"))
 
 
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(spark, d):
+    return R.union_distinct(t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), t(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def intersect_all(spark, d):
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(t(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def except_all(spark, d):
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(t(spark, d, "supplier").select("s_nationkey"))
+
+
 @query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def except_(spark, d):
     return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(t(spark, d, "orders").where("o_totalprice > 300000").select("o_custkey"))
@@ -408,14 +524,61 @@ def curve_order(spark, d):
 
 @query("SELECT doc_id AS key FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[a-z0-9]+'), ['the', 'and', 'license'])")
 def keyword_search(spark, d):
-    x = index.token_table(t(spark, d, "documents"), "doc_id", index.word_tokens(F.col("text")))
-    return index.search_all(x, ["the", "and", "license"])
+    return index.keyed_search(t(spark, d, "documents").where(F.contains(F.lower("text"), F.lit("license"))), "doc_id", index.word_tokens(F.col("text")), ["the", "and", "license"])
 
 
-@query("SELECT p_partkey AS key FROM part WHERE contains(lower(p_name), 'art') AND contains(lower(p_name), '_12')")
+@query("SELECT doc_id AS key FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[a-z0-9]+'), ['the', 'license'])")
+def keyword_index_search(spark, d):
+    """The inverted index as a table dealt and sorted by token, and a search that reads its tokens' files."""
+    path = new_path(spark)
+    index.sorted_load(index.token_table(t(spark, d, "documents"), "doc_id", index.word_tokens(F.col("text"))), path, ["token", "key"])
+    return index.search_all(spark.read.parquet(path), ["the", "license"])
+
+
+@query("SELECT p_partkey AS key FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'ing')")
 def ngram_search(spark, d):
     x = index.token_table(t(spark, d, "part"), "p_partkey", index.gram_tokens(F.col("p_name")))
-    return index.search_all(x, ["art", "_12"])
+    return index.search_all(x, ["red", "ing"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey BETWEEN 200 AND 260")
+def btree_bulk_load(spark, d):
+    path = new_path(spark)
+    index.sorted_load(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), path, ["l_orderkey", "l_linenumber"], 4)
+    return index.range_search(spark.read.parquet(path), ["l_orderkey"], [200], [260])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 41")
+def bloom_point(spark, d):
+    path = new_path(spark)
+    index.sorted_load(t(spark, d, "orders").select("o_orderkey", "o_custkey"), path, ["o_orderkey"], 4, bloom=["o_custkey"])
+    return index.range_search(spark.read.parquet(path), ["o_custkey"], [41], [41])
+
+
+@query(f"SELECT l_orderkey, l_linenumber FROM ({BOXES}) WHERE x1 <= 22 AND x2 >= 20 AND y1 <= 0.035 AND y2 >= 0.025")
+def rtree_bulk_load(spark, d):
+    path = new_path(spark)
+    index.spatial_load(_boxes(spark, d), path, ["x1", "y1"], [0, 0], [50, 0.1])
+    return index.box_search(spark.read.parquet(path), ["x1", "y1"], ["x2", "y2"], [20, 0.025], [22, 0.035]).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_custkey % 6 <> 0")
+def lsm_components(spark, d):
+    """A component, one of new values, one of deletions, merged."""
+    c = t(spark, d, "customer").select("c_custkey", "c_nationkey", F.lit(False).alias("deleted"))
+    tree = index.Components(spark, new_path(spark, "lsm"), ["c_custkey"])
+    tree.append(c, 0)
+    tree.append(c.where("c_custkey % 4 = 0").withColumn("c_nationkey", F.lit(-1)), 1)
+    tree.append(c.where("c_custkey % 6 = 0").withColumn("deleted", F.lit(True)), 2)
+    return tree.merge(new_path(spark, "lsm")).read()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.07)")
+def index_probe(spark, d):
+    path = new_path(spark)
+    index.sorted_load(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), path, ["o_orderkey"], 4)
+    keys = t(spark, d, "lineitem").where("l_quantity = 50 AND l_discount = 0.07").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return index.probe(keys, spark.read.parquet(path), "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 WORDS = "SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark"
@@ -490,6 +653,21 @@ def session_windows(spark, d):
     return windows.sessions(t(spark, d, "events"), "ts", "2 hours", ["user_id"], n=rows()).drop("end")
 
 
+@query("SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY ALL")
+def sliding_windows(spark, d):
+    return windows.tumbling(t(spark, d, "events"), "ts", "1 hour", ["event_type"], slide="30 minutes", n=rows()).drop("end")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def distinct_within(spark, d):
+    """Over a stream that reads the table once; no two rows of a key are further apart than the delay."""
+    events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{d}/[e]vents.parquet")
+    out = windows.distinct_within(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["user_id", "event_type"], "60 days").select("user_id", "event_type")
+    path = new_path(spark)
+    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, event_type string").parquet(path)
+
+
 # Decision-support mixes.
 
 
@@ -511,11 +689,12 @@ def tpch_q3(spark, d):
 
 @query("SELECT n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 2 GROUP BY n_name")
 def tpch_q5(spark, d):
-    x = R.equi_join(t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount"), t(spark, d, "orders").select("o_orderkey", "o_custkey"), [("l_orderkey", "o_orderkey")])
-    x = R.equi_join(x, t(spark, d, "customer").select("c_custkey", "c_nationkey"), [("o_custkey", "c_custkey")])
-    x = R.equi_join(x, t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), [("l_suppkey", "s_suppkey"), ("c_nationkey", "s_nationkey")])
-    x = R.replicate_join(x, t(spark, d, "nation"), [("s_nationkey", "n_nationkey")])
-    x = R.replicate_join(x, t(spark, d, "region").where("r_regionkey = 2"), [("n_regionkey", "r_regionkey")])
+    region = R.replicate_join(t(spark, d, "nation"), t(spark, d, "region").where("r_regionkey = 2"), [("n_regionkey", "r_regionkey")]).select("n_nationkey", "n_name")
+    s = R.replicate_join(t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), region, [("s_nationkey", "n_nationkey")])
+    c = R.replicate_join(t(spark, d, "customer").select("c_custkey", "c_nationkey"), region.select("n_nationkey"), [("c_nationkey", "n_nationkey")])
+    o = R.replicate_join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), c.select("c_custkey", "c_nationkey"), [("o_custkey", "c_custkey")])
+    x = R.replicate_join(t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount"), s.select("s_suppkey", "s_nationkey", "n_name"), [("l_suppkey", "s_suppkey")])
+    x = R.equi_join(x, o, [("l_orderkey", "o_orderkey"), ("s_nationkey", "c_nationkey")])
     return R.group(x, ["n_name"], revenue=R.exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4))
 
 

@@ -35,7 +35,8 @@ class MeanCounter:
         self._sum = self._n = 0
 
     def get(self) -> int:
-        return int(self._sum / self._n) if self._n else 0
+        """Whole division towards zero, exact at any size."""
+        return (abs(self._sum) // self._n) * (1 if self._sum >= 0 else -1) if self._n else 0
 
     def set(self, value: int) -> int:
         old = self.get()

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dagql.operators.relational import sent
+
 
 def sorted_load(df: DataFrame, path: str, keys: Sequence[str], n: int | None = None, bloom: Sequence[str] = ()) -> None:
     """Bulk load: files that hold disjoint key ranges, sorted, so that bounds on keys skip files and row groups; with Bloom
@@ -129,6 +131,16 @@ def token_table(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(F.explode(tokens).alias("token"), F.col(key).alias("key"))
 
 
+def keyed_search(df: DataFrame, key: str, tokens: Column, wanted: Sequence[str]) -> DataFrame:
+    """The same without a stored index: keys of the rows that hold all of the wanted tokens, tested where the rows are read."""
+    return df.where(F.forall(F.array(*[F.lit(w) for w in wanted]), lambda w: F.array_contains(tokens, w))).select(F.col(key).alias("key"))
+
+
+def probe(keys: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Index nested loop: the rows of a loaded index for each of a few keys; the keys, if known to be few, go to the index."""
+    return index.join(sent(keys.select(key)), key)
+
+
 def search_all(index: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Keys that hold all of the wanted tokens."""
     wanted = sorted(set(wanted))

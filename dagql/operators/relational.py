@@ -1,6 +1,7 @@
 """Joins, groups, sorts, set operations and nested data, as functions from DataFrames to DataFrames.
 
-They only declare; the physical strategy is Catalyst's, unless a hint is asked for by name.
+They only declare, but for ``numbered`` and ``replicate``, which write a table; the physical strategy is Catalyst's, unless
+a hint is asked for by name.
 """
 
 from __future__ import annotations
@@ -11,8 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dagql.tables import cut
+
 #: A side is sent to every executor only if Spark knows it to be smaller than this.
 MOST_SENT = 64 << 20
+#: A hash table is asked for only over a side known to be smaller than this: even if one key holds all of it, it fits a task.
+MOST_HASHED = 256 << 20
 
 
 def known_bytes(df: DataFrame) -> int:
@@ -37,8 +42,10 @@ def _on(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], null
 
 
 def hash_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how: str = "inner", null_safe: bool = False) -> DataFrame:
-    """Equi-join by a hash table over the right side's partitions; ``left`` pads missing right rows with nulls."""
-    return left.join(right.hint("shuffle_hash"), _on(left, right, keys, null_safe), how)
+    """Equi-join by a hash table over the right side's partitions, if that side is known not to be too large for it (a hash
+    table can't spill); else by whatever Catalyst chooses. ``left`` pads missing right rows with nulls."""
+    hashed = right.hint("shuffle_hash") if known_bytes(right) <= MOST_HASHED else right
+    return left.join(hashed, _on(left, right, keys, null_safe), how)
 
 
 def equi_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how: str = "inner", null_safe: bool = False) -> DataFrame:
@@ -65,11 +72,12 @@ def interval_join(points: DataFrame, ranges: DataFrame, point: str, low: str, hi
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, value: Sequence[str]) -> DataFrame:
-    """Each left row with the values of the latest right row of its key at or before its time (nulls if none)."""
+    """Each left row with the values of the latest right row of its key at or before its time (nulls if none); of right
+    rows of equal time, the one of the greatest values."""
     kept = [c for c in left.columns if c not in (*by, at)]
     a = left.select(*by, at, F.lit(1).alias("__side"), F.struct(*kept).alias("__row"), F.lit(None).cast(right.select(F.struct(*value)).schema[0].dataType).alias("__value"))
     b = right.select(*by, at, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.struct(*value).alias("__value"))
-    w = W.partitionBy(*by).orderBy(at, "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy(*by).orderBy(at, "__side", "__value").rowsBetween(W.unboundedPreceding, W.currentRow)
     d = a.union(b).withColumn("__value", F.last("__value", ignorenulls=True).over(w)).where("__side = 1")
     return d.select(*by, at, "__row.*", *[F.col(f"__value.{v}").alias(v) for v in value])
 
@@ -140,21 +148,31 @@ def top_k_by(df: DataFrame, k: int, keys: Sequence[str], *order: str | Column) -
 
 
 def numbered(df: DataFrame, *order: str, name: str = "rn") -> DataFrame:
-    """Positions from 1 in the total order, by ranges: each task numbers its range after the sizes of those before."""
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    d = d.persist()
+    """Positions from 1 in the total order. The sorted ranges are written as a table, each row with its number within its
+    range; what is gathered is the size of each range. So there is one sort, and no task holds more than a range."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    d = cut(d).withColumn("__part", F.shiftright("__id", 33).cast("int"))
     sizes = {r[0]: r[1] for r in d.groupBy("__part").count().collect()}
     before, total = {}, 0
     for p in sorted(sizes):
         before[p], total = total, total + sizes[p]
     offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__part")) if before else F.lit(0)
-    rank = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return d.withColumn(name, (offset + rank).cast("long")).drop("__part")
+    return d.withColumn(name, (offset + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("__part", "__id")
 
 
 # Several inputs and outputs.
 
 
+def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], keys: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Aggregates by each of the sets of keys in one pass; keys that a set lacks are null."""
+    return df.groupingSets([[F.col(k) for k in x] for x in sets], *[F.col(k) for k in keys]).agg(*[c.alias(n) for n, c in aggregates.items()])
+
+
+def union_distinct(*inputs: DataFrame) -> DataFrame:
+    """Each row of any input once."""
+    return union_all(*inputs).dropDuplicates()
+
+
 def union_all(*inputs: DataFrame) -> DataFrame:
     """All rows of all inputs, by position, duplicates kept."""
     out = inputs[0]
@@ -175,8 +193,8 @@ def split(df: DataFrame, **conditions: Column) -> dict[str, DataFrame]:
 
 
 def replicate(df: DataFrame, n: int) -> tuple[DataFrame, ...]:
-    """The same rows to n consumers, computed once if they fit."""
-    return (df.persist(),) * n
+    """The same rows to n consumers, computed once: they read a table."""
+    return (cut(df),) * n
 
 
 def unnest(df: DataFrame, array: str | Column, name: str, outer: bool = False, position: str | None = None) -> DataFrame:

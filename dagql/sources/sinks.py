@@ -33,6 +33,11 @@ def print_tuples(df: DataFrame, columns: Sequence[int] | None = None) -> DataFra
     return df.select(F.concat_ws("; ", *shown).alias("line"))
 
 
+def print_with(df: DataFrame, printers: Sequence[Callable[[Column], Column]], sep: str = "; ") -> DataFrame:
+    """One ``line`` of each row: each field through its own printer, nulls as nothing."""
+    return df.select(F.concat_ws(sep, *[F.coalesce(p(F.col(c)), F.lit("")) for p, c in zip(printers, df.columns, strict=True)]).alias("line"))
+
+
 class TupleWriter:
     """Base of user sinks. ``close`` follows only a successful ``open``; ``fail`` comes before it if a write raised."""
 
@@ -65,9 +70,10 @@ def write_with(df: DataFrame, make: Callable[[], TupleWriter]) -> None:
     df.foreachPartition(run)
 
 
-def serialize(df: DataFrame, name: str = "value") -> DataFrame:
-    """Each row as one JSON text."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+def serialize(df: DataFrame, name: str = "value", serializer: Callable[[list[Column]], Column] | None = None) -> DataFrame:
+    """Each row as one text: JSON, or what the serializer makes of its columns."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return df.select((serializer(columns) if serializer else F.to_json(F.struct(*columns))).alias(name))
 
 
 class ResultReader:

@@ -2,8 +2,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dagql import types
+from dagql.functions.counters import MeanCounter
+from dagql.plans import properties, script
 from dagql.sources import files, sinks
 from dagql.sources.files import FileSplit
 
@@ -93,3 +96,41 @@ def test_results_are_read_in_order(spark):
     assert len(r.read(1000)) == 97 and r.read() is None
     sinks.discard(spark.range(3))
     assert [x.value for x in sinks.serialize(spark.range(1)).collect()] == ['{"id":0}']
+
+
+def test_empty_fields_and_other_parsers(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("1||2.5|\n|x|zz|\n3\n\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType()), T.StructField("c", T.DoubleType())])
+    got = [tuple(r) for r in files.read_delimited(spark, [f"{tmp_path}/e.txt"], schema).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "", 2.5), (None, "x", None), (3, None, None), (None, None, None)], key=repr)
+    (tmp_path / "w.txt").write_text("7  ab \n12 c\n")
+    fixed = files.load(spark, f"{tmp_path}/w.txt", T.StructType(schema.fields[:2]), parser=files.FixedWidth((3, 5)))
+    assert sorted(map(tuple, fixed.collect())) == [(7, "ab"), (12, "c")]
+
+
+def test_a_dump_deals_its_rows_over_all_splits(spark, tmp_path):
+    d = spark.range(100).selectExpr("id", "cast(id AS string) AS s")
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    script.run(spark, f'R = load "t" as (id: long, s: chararray); dump R into "n1:{a},n2:{b}";', tables={"t": d}).write()
+    parts = [sorted(int(r.value.split("|")[0]) for r in spark.read.text(p).collect()) for p in (a, b)]
+    assert all(len(p) > 20 for p in parts) and sorted(parts[0] + parts[1]) == list(range(100))
+
+
+def test_jobs_by_properties(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("b a\na\n")
+    properties.run(spark, f"job=word_count\ninput.paths={tmp_path}/in.txt\noutput.path={tmp_path}/o")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/o").collect()) == ["a\t2", "b\t1"]
+    for bad in ("job=word_count", f"job=none\ninput.paths={tmp_path}/in.txt\noutput.path={tmp_path}/p"):
+        with pytest.raises(ValueError, match="job"):
+            properties.run(spark, bad)
+
+
+def test_mean_counter_is_exact_beyond_floats():
+    m = MeanCounter()
+    m.set(2**60 + 2)
+    m.set(2**60)
+    assert m.get() == 2**60 + 1
+    n = MeanCounter()
+    n.set(-3)
+    n.set(0)
+    assert n.get() == -1

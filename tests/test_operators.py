@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dagql import catalog
 from dagql.functions.counters import Counter, MeanCounter, observed
 from dagql.operators import index
 from dagql.operators import relational as R
@@ -80,7 +81,9 @@ def test_joins_pad_with_nulls_and_never_match_them(spark):
     a, b = spark.createDataFrame([(1,), (None,)], "x int"), spark.createDataFrame([(1, "p"), (None, "q")], "y int, z string")
     assert rows(R.hash_join(a, b, [("x", "y")])) == [(1, 1, "p")]
     assert rows(R.hash_join(a, b, [("x", "y")], "left")) == [(1, 1, "p"), (None, None, None)]
-    assert "ShuffledHashJoin" in R.hash_join(a, b, [("x", "y")])._jdf.queryExecution().executedPlan().toString()
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan(R.hash_join(a, spark.range(100).withColumnRenamed("id", "y"), [("x", "y")]))
+    assert "ShuffledHashJoin" not in plan(R.hash_join(a, b, [("x", "y")]))  # of unknown size: a hash table can't spill
     big = spark.range(1 << 40).select(F.col("id").alias("y"))
     assert "Broadcast" not in R.replicate_join(a, big, [("x", "y")])._jdf.queryExecution().sparkPlan().toString()
 
@@ -167,3 +170,36 @@ def test_deployed_code_and_shared_values_reach_tasks(spark, tmp_path):
             yield f.assign(id=deployed_module.f(f.id) + b.value["add"])
 
     assert [r.id for r in spark.range(1).mapInPandas(run, "id long").collect()] == [11]
+
+
+def test_numbers_follow_the_order_with_one_sort_and_nothing_cached(spark):
+    d = spark.range(5000).selectExpr("(id * 7919) % 5000 AS k", "id")
+    n = R.numbered(d, "k")
+    assert [(r.k, r.rn) for r in n.orderBy("rn").collect()] == [(i, i + 1) for i in range(5000)]
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "InMemoryTableScan" not in plan and "Sort" not in plan
+    a, b = R.replicate(d, 2)
+    assert "InMemoryTableScan" not in a.union(b)._jdf.queryExecution().executedPlan().toString() and a.count() == b.count() == 5000
+    assert R.numbered(d.limit(0), "k").count() == 0
+
+
+def test_asof_takes_the_greatest_of_equal_times(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 4, 2), ("b", 9, 3)], "k string, t int, id int")
+    right = spark.createDataFrame([("a", 5, 10), ("a", 5, 30), ("a", 5, 20), ("b", 10, 1)], "k string, t int, v int")
+    for r in (right, right.orderBy("v"), right.orderBy(F.desc("v"))):
+        assert sorted((x.id, x.v) for x in R.asof_join(left, r, ["k"], "t", ["v"]).collect()) == [(1, 30), (2, None), (3, None)]
+
+
+def test_grouping_sets_and_distinct_union(spark):
+    d = spark.createDataFrame([("x", 1), ("x", 2), (None, 1)], "a string, b int")
+    got = R.grouping_sets(d, [["a"], ["b"]], ["a", "b"], n=F.count(F.lit(1))).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("x", None, 2), (None, None, 1), (None, 1, 2), (None, 2, 1)], key=repr)
+    assert R.union_distinct(d, d).count() == 3
+
+
+def test_partial_sums_come_before_shuffles_and_filters_before_explode(spark):
+    plan = lambda name: catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for name in ("group_hash", "group_external_many_keys", "wordcount", "partial_final_agg"):
+        p = plan(name)
+        assert p.index("Exchange") < p.index("partial_"), name  # the tree's lower nodes come later in the text
+    assert "Generate" not in plan("keyword_search")
