@@ -2,59 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dagql.tables import cut, forget, release, shared_folder
+
+__all__ = ["cut", "forget", "release", "shared_folder"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark (the folder may be on any store that Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``. Where it is unset, a folder of this machine, but only
-    for a session that runs on this machine alone."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="dagql-checkpoint-"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table to the shared folder and read it back: lost executors cost no recomputation, rows are
-    packed and read by columns, and the planner's sizes start from the files. The table stays until it is forgotten."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.dagql_table = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and nothing reads any more."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df.dagql_table)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files of finished jobs deleted: executors keep them until the driver, whose heap hardly fills, collects
-    its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts go to Python workers in batches of at most so many rows from here on (a setting of the session; a smaller one
     stays): a batch is held several times over, by the JVM and the worker, and texts are long."""
