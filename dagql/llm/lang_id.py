@@ -2,9 +2,9 @@
 of them and the smallest encoding names the language.
 
 The dictionaries are fitted on a bounded sample: of each language the ``docs_per_language`` labelled rows with the
-smallest hash, up to ``dict_bytes`` of text in all, of each row at most ``slice_chars`` characters from its
-middle (the model's sample; texts to be judged are always encoded whole). Each language keeps its own text up to that bound,
-however little the others have; a shorter one is repeated up to the length of the longest, for zstandard chooses its
+smallest hash, whole, as far as they fit into ``dict_bytes``; texts of more than an eighth of that aren't in the
+sample, so that it holds many, unless a language has no others (then the first by hash is, up to ``dict_bytes``). Texts
+to be judged are always encoded whole. Each language keeps its own text up to that bound, however little the others have; a shorter one is repeated up to the length of the longest, for zstandard chooses its
 search by the dictionary's length, and none is favoured then. Case is folded in both, for capitals find no match in a
 dictionary of small letters.
 
@@ -13,7 +13,8 @@ dictionary of small letters.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; ties go to the language with more
 training text, then to the first by name; without training rows all texts are ``und``; repeated rows are judged
-alike, each giving its row; an empty table gives an empty result.
+alike, each giving its row; input columns may have any names, those kept come back as they are; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from dagql.llm.common import table, text_batches
 LETTER = regex.compile(r"\p{L}")
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 200, dict_bytes: int = 32_768, slice_chars: int = 1_000) -> list[tuple[str, bytes]]:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 200, dict_bytes: int = 32_768) -> list[tuple[str, bytes]]:
     """(language, dictionary content), most rows first. Only these bounded samples come to the driver."""
     d = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     counts = {r["l"]: (r["n"], r["texts"]) for r in d.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts")).collect()}
@@ -42,10 +43,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
     # rows whose hash is so small that several times the sample are expected; copies of one text count once
     share = F.create_map(*[F.lit(x) for k, (_, texts) in counts.items() for x in (k, min(1.0, 5 * docs_per_language / max(1, texts)))])
     d = d.where(F.pmod("h", F.lit(1 << 31)) < F.element_at(share, F.col("l")) * (1 << 31))
-    d = d.select("l", "h", F.expr(f"substr(t, greatest(1, cast((char_length(t) - {slice_chars}) / 2 as int)), {slice_chars})").alias("t")).groupBy("l", "h").agg(F.min("t").alias("t"))
-    picked = d.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 31)), "h"))).where(F.col("n") <= docs_per_language)
+    d = d.groupBy("l", "h").agg(F.min("t").alias("t")).withColumn("bytes", F.octet_length("t") + 1)
+    order = W.partitionBy("l").orderBy(F.col("bytes") > dict_bytes // 8, F.pmod("h", F.lit(1 << 31)), "h")
+    sized = d.select("l", "t", "bytes", F.row_number().over(order).alias("n"), F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("upto"))
+    picked = sized.where((F.col("n") <= docs_per_language) & (F.col("upto") <= dict_bytes + 1) & (F.col("bytes") <= dict_bytes // 8) | (F.col("n") == 1))
     texts: dict[str, list] = {}
-    for r in picked.collect():
+    for r in picked.select("l", "n", F.when(F.col("bytes") > dict_bytes, F.substring("t", 1, dict_bytes)).otherwise(F.col("t")).alias("t")).collect():
         texts.setdefault(r["l"], []).append((r["n"], r["t"]))
     joined = {k: b"\n".join(t.lower().encode("utf-8", "surrogatepass") for _, t in sorted(v)) for k, v in texts.items()}
     n = min(dict_bytes, max(map(len, joined.values()), default=0))
