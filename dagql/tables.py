@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,6 +49,7 @@ def forget(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Have the shuffle files of finished jobs deleted: executors keep them until the driver, whose heap hardly fills, collects
-    its garbage."""
+    its garbage. What Arrow holds unused goes back too."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
