@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagql.llm.common import cut, table, text_batches
+from dagql.llm.common import cut, forget, release, table, text_batches
 
 SHAPE_LENGTH = 8
 CACHED_WORDS, CACHED_LENGTH = 50_000, 64
@@ -82,16 +82,17 @@ def dual_descent(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: np.ndarra
     """Weights and bias of min |w|^2/2 + sum c_i * hinge, by coordinate descent on its dual. x: indicators, scaled by r
     and by the root of their number."""
     w, bias, a = np.zeros(len(r)), 0.0, np.zeros(len(x))
-    scale = [r[i] / math.sqrt(len(i)) if len(i) else r[:0] for i in x]
-    q = np.array([s @ s + 1.0 for s in scale])
+    root = [math.sqrt(max(1, len(i))) for i in x]
+    q = np.array([r[i] @ r[i] / s**2 + 1.0 for i, s in zip(x, root, strict=True)])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(x)):
-            g = y[i] * (w[x[i]] @ scale[i] + bias) - 1
+            scale = r[x[i]] / root[i]
+            g = y[i] * (w[x[i]] @ scale + bias) - 1
             new = min(max(a[i] - g / q[i], 0.0), c[i])
             if d := new - a[i]:
-                w[x[i]] += d * y[i] * scale[i]
+                w[x[i]] += d * y[i] * scale
                 bias += d * y[i]
                 a[i] = new
                 moved = max(moved, abs(d))
@@ -128,7 +129,7 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * m + self.shift))))
 
 
-def sample_of(rows: DataFrame, texts: dict[int, int], sample_rows: int) -> list:
+def sample_of(rows: DataFrame, texts: dict[int, int], sample_rows: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """y, h and g of at most sample_rows distinct texts, by h. texts: how many of each class there are."""
     some = F.lit(False)
     for y, n in texts.items():
@@ -139,7 +140,12 @@ def sample_of(rows: DataFrame, texts: dict[int, int], sample_rows: int) -> list:
             last = rows.where(mine).select("h").distinct().orderBy("h").limit(take).toArrow().column("h").to_numpy().max()
             mine &= F.col("h") <= int(last)
         some |= mine
-    return sorted(rows.where(some).dropDuplicates(["y", "h"]).collect(), key=lambda r: (r["h"], r["y"]))
+    found = rows.where(some).dropDuplicates(["y", "h"]).toArrow().combine_chunks()
+    y, h, g = (found.column(c).combine_chunks() for c in ("y", "h", "g"))
+    y, h, flat, ends = y.to_numpy(), h.to_numpy(), g.flatten().to_numpy(), g.offsets.to_numpy()
+    ends = ends - ends[0] if len(ends) else np.zeros(1, np.int32)
+    order = np.lexsort((y, h))
+    return y[order], h[order], [flat[ends[i] : ends[i + 1]] for i in order]
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", bits: int = 18, sample_rows: int = 20_000, cost: float = 1.0) -> Model:
@@ -163,9 +169,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", bits: int
     counts = rows.select("y", F.explode("g").alias("g")).groupBy("g", "y").count().toArrow()  # at most 2 << bits rows
     r = ratios(*(counts.column(c).to_numpy() for c in ("g", "y", "count")), (n[0], n[1]), bits)
     texts = {r["y"]: r["texts"] for r in sizes}
-    sample = sample_of(rows, texts, sample_rows)
-    x, y = [np.array(s["g"], np.int64) for s in sample], np.array([s["y"] for s in sample])
-    fits = np.array([s["h"] % 4 != 3 for s in sample])
+    y, h, x = sample_of(rows, texts, sample_rows)
+    fits = h % 4 != 3
     if len(set(y[fits])) < 2 or len(set(y[~fits])) < 2:
         fits[:] = True
     sign = np.where(y == 1, 1.0, -1.0)
@@ -176,6 +181,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", bits: int
     rest = np.flatnonzero(~fits) if not fits.all() else at
     margin = np.array([bias + (value[x[i]].sum() / math.sqrt(len(x[i])) if len(x[i]) else 0.0) for i in rest])
     share = np.array([texts[k] / (y == k).sum() for k in (0, 1)])  # texts that one of the sample stands for
+    forget(rows)
+    release(labelled.sparkSession)
     return Model(bits, value, bias, *logistic_curve(margin, y[rest], (share / share.min())[y[rest]]))
 
 
