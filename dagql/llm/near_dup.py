@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     forget(members, *tested, *links)
 
     of = classes.select("id", "least").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    first = of.groupBy("component").agg(F.min("least").alias("first"))
+    first = cut(of.groupBy("component").agg(F.min("least").alias("first")))  # as a table, so that joins on a hot component can be split
     of = of.join(first, "component").select(F.col("id").alias("class"), "component", "first")
     out = rows.select("id", "key", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), number).alias("class")).join(of, "class", "left")
     out = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"), F.col("key").alias("text_key"), F.col("component").alias("group_key"))
@@ -313,7 +313,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
     Rows without words and those of a null id all stay."""
     d = cut(near_duplicates(docs, words, percent, doc_id, text).where((F.col("n_shingles") > 0) & F.col(doc_id).isNotNull()))
     key = F.struct(F.col(doc_id).alias("id"), F.col("text_key").alias("key"))
-    stay = d.groupBy("group_key").agg(F.min(key).alias("stay"))
+    stay = cut(d.groupBy("group_key").agg(F.min(key).alias("stay")))
     rows = d.join(stay, "group_key").groupBy(F.col(doc_id).alias("__id"), F.col("text_key").alias("__key")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("stay") == key).alias("stays"))
     rows = cut(rows.where("NOT stays OR rows > 1"))  # what goes, and what stays once of repeated rows
     if rows.limit(IDS_SENT + 1).count() <= IDS_SENT:
