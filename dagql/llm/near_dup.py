@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     info = classes.select("id", "n", "regs")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("regs", k * BAND + 1, F.lit(BAND))))
     bands = classes.select("id", "n", band.alias("band", "b")).select("id", "n", "band", F.xxhash64("band", "b").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    # tables of the buckets, so that joins on a hot one can be split, or few are sent
+    shared = cut(bands.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
     members = cut(bands.join(shared, "bucket").select("bucket", "band", "u", F.col("id").alias("v")))
 
     # each class with the smallest of the bucket it shares most bands with
@@ -264,7 +265,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         size, bulk, largest = F.sum("size"), F.sum("bulk"), F.max(F.struct("size", "bulk", "component"))
         blocks = lambda size, bulk: F.ceil(F.greatest(size / BLOCK, bulk / BLOCK_SHINGLES)).cast("int")
         parts = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), largest["component"].alias("largest"), blocks(size, bulk).alias("blocks"), blocks(size - largest["size"], bulk - largest["bulk"]).alias("asking"))
-        held = m = cut(m.join(parts.where("parts > 1").drop("parts"), "bucket").withColumn("asks", F.col("component") != F.col("largest")))
+        parts = cut(parts.where("parts > 1").drop("parts"))
+        held = m = cut(m.join(parts, "bucket").withColumn("asks", F.col("component") != F.col("largest")))
         payload = info
         if not top:
             short = _texts_of(cut(m.select("id").distinct()), classes, texts).mapInArrow(_short_sets(words), "id long, short binary").dropDuplicates(["id"])
@@ -289,7 +291,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         for before in tested:
             found = found.join(before.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
         tested.append(cut(found))
-        forget(held)
+        forget(held, parts)
         if tested[-1].isEmpty():
             continue
         new = _verified(tested[-1], classes, texts, words, percent)
@@ -298,7 +300,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         links.append(new)
         release(docs.sparkSession)
         labels = components(reduce(DataFrame.unionByName, links))
-    forget(members, *tested, *links)
+    forget(shared, members, *tested, *links)
 
     of = classes.select("id", "least").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = cut(of.groupBy("component").agg(F.min("least").alias("first")))  # as a table, so that joins on a hot component can be split
