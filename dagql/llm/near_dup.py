@@ -320,10 +320,10 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
     rows = cut(rows.where("NOT stays OR rows > 1"))  # what goes, and what stays once of repeated rows
     if rows.limit(IDS_SENT + 1).count() <= IDS_SENT:
         rows = F.broadcast(rows)
-    keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__key": F.xxhash64(doc_id, text)})
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)], F.col(doc_id).cast("long").alias("__id"), F.xxhash64(doc_id, text).alias("__key"))
     rest = keyed.join(rows, ["__id", "__key"], "left_anti")
     repeated = keyed.join(rows.where("stays"), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
-    return rest.union(repeated.select(*rest.columns)).select(*docs.columns)
+    return rest.union(repeated.select(*rest.columns)).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op5_near_dup(spark, sf_dir: str) -> DataFrame:
